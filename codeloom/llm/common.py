@@ -89,21 +89,25 @@ def with_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-class WordMemo(dict):
-    """word -> value of ``make(list of words)``; forgets all at ``most`` words, so memory is bounded."""
+class WordMemo:
+    """word -> value of ``make(list of words)``; forgets all at ``most`` words, so memory is bounded.
 
-    def __init__(self, make: Callable[[list[str]], Iterable], most: int = 400_000):
-        super().__init__()
-        self.make, self.most = make, most
+    ``at(word)`` looks up a word that ``ensure`` has seen since.
+    """
+
+    def __init__(self, make: Callable[[list[str]], Iterable], most: int = 800_000):
+        self.known: dict = {}
+        self.make, self.most, self.at = make, most, self.known.__getitem__
 
     def ensure(self, words: Iterable[str]) -> None:
-        missing = [w for w in set(words) if w not in self]
+        wanted = set(words)
+        missing = list(wanted.difference(self.known))
         if not missing:
             return
-        if len(self) + len(missing) > self.most:
-            self.clear()
-            missing = list(set(words))
-        self.update(zip(missing, self.make(missing), strict=True))
+        if len(self.known) + len(missing) > self.most:
+            self.known.clear()
+            missing = list(wanted)
+        self.known.update(zip(missing, self.make(missing), strict=True))
 
 
 def tokenizer_path(name: str, folder: str | None = None) -> str:

@@ -17,9 +17,11 @@ rows are judged row by row. Extra columns are ignored. Lines are compared exactl
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import WORD, WordMemo, map_rows, tokenizer_path
@@ -94,9 +96,16 @@ def script_of(text: str) -> str:
 
 def repeated_words(words: list[str]) -> int:
     """Words that lie in a 3-word window found twice or more."""
-    windows = list(zip(words, words[1:], words[2:], strict=False))
-    if len(set(windows)) == len(windows):
+    n = len(words)
+    if n < 4:
+        return 0
+    # Equal windows have equal hashes: where all hashes differ, nothing repeats and the windows need not be built.
+    h = np.fromiter(map(hash, words), dtype=np.int64, count=n).view(np.uint64)
+    keys = (h[:-2] * np.uint64(0x9E3779B97F4A7C15) + h[1:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) + h[2:]
+    keys.sort()
+    if (keys[1:] != keys[:-1]).all():
         return 0
+    windows = list(zip(words, words[1:], words[2:], strict=False))
     seen = Counter(windows)
     count, until = 0, 0
     for i, w in enumerate(windows):
@@ -125,21 +134,20 @@ def quality_rules(docs: DataFrame, rules: FertilityRules | None = None, id_col:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(rules.vocabulary, rules.folder))
-        is_byte = [sp.is_byte(i) for i in range(sp.get_piece_size())]
-        memo = WordMemo(lambda words: sp.encode(words, num_threads=1))
+        is_byte = np.array([sp.is_byte(i) for i in range(sp.get_piece_size())])
+        memo = WordMemo(lambda words: [array("I", ids).tobytes() for ids in sp.encode(words, num_threads=1)])
 
         def judge(doc_id, text, lang):
             text = text or ""
             words = WORD.findall(text)
             memo.ensure(words)
-            ids: list[int] = []
-            for w in words:
-                ids += memo[w]
+            ids = np.frombuffer(b"".join(map(memo.at, words)), dtype=np.uint32)
             n, chars = len(ids), sum(map(len, words))
-            counts = Counter(ids)
-            entropy = math.log2(n) - math.fsum(c * math.log2(c) for c in counts.values()) / n if n else 0.0
+            counts = np.bincount(ids, minlength=len(is_byte))
+            some = counts[counts > 0]
+            entropy = math.log2(n) - float(some @ np.log2(some)) / n if n else 0.0
             cpt = chars / n if n else 0.0
-            share = sum(c for i, c in counts.items() if is_byte[i]) / n if n else 0.0
+            share = int(counts[is_byte].sum()) / n if n else 0.0
             repeats = repeated_words(words)
             base = len(words) < rules.min_words or 100 * repeats > rules.max_repeat_percent * len(words)
             reason = "base" if base else None

@@ -113,7 +113,7 @@ def token_counts(docs: DataFrame, rules: CountRules | None = None, id_col: str =
             text = text or ""
             words = WORD.findall(text)
             memo.ensure(words)
-            found = [memo[w] for w in words]
+            found = list(map(memo.at, words))
             return doc_id, len(text), len(words), sum(t for t, _ in found), sum(b for _, b in found)
 
         return lambda ids, texts: map(count, ids, texts)
