@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary, decontam, neardup, packing, pii, quality, tokencount, toxicity
+from . import binary, decontam, neardup, packing, pii, quality, suffix, tokencount, toxicity
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op5_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.write_packed(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -43,7 +47,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_pii, op5_binary, op7_decontaminate, op8_near_duplicates, op9_quality_rules, op10_token_counts)}
+    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_pii, op5_binary, op6_suffix_dedup, op7_decontaminate, op8_near_duplicates, op9_quality_rules, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
