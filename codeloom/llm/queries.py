@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary, decontam, neardup, packing, pii, quality, suffix, tokencount, toxicity
+from . import binary, decontam, html, neardup, packing, pii, quality, suffix, tokencount, toxicity
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.write_packed(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_pii, op5_binary, op6_suffix_dedup, op7_decontaminate, op8_near_duplicates, op9_quality_rules, op10_token_counts)}
+    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_pii, op4_html, op5_binary, op6_suffix_dedup, op7_decontaminate, op8_near_duplicates, op9_quality_rules, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
