@@ -16,6 +16,7 @@ ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from dataclasses import dataclass
@@ -43,10 +44,23 @@ class PackRules:
 # ---------------------------------------------------------------- tokens
 
 
+#: Words whose lower case and normal form are beyond doubt, with the punctuation behind them.
+_PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,;:!?]*)")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letters by which byte-level vocabularies write bytes: printable Latin-1 as itself, the rest from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 def word_ids(rules: PackRules):
     """Memo of a white-space-free word's ids as little-endian unsigned 32-bit bytes.
 
     The vocabulary's normaliser and pre-tokeniser never join text across white space, so a text's ids are its words' ids.
+    They lower-case, and part letters from punctuation, so a plain word goes to the tokeniser's model by itself, once for
+    all its capitals and punctuation; any other word takes the whole tokeniser.
     """
     import os
 
@@ -54,13 +68,25 @@ def word_ids(rules: PackRules):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path(rules.vocabulary, rules.folder))
-    return WordMemo(lambda words: [array("I", e.ids).tobytes() for e in t.encode_batch_fast(words, add_special_tokens=False)])
+    model, letters = t.model.tokenize, byte_letters()
+    whole = lambda words: [array("I", e.ids).tobytes() for e in t.encode_batch_fast(words, add_special_tokens=False)]
+    cores = WordMemo(lambda words: [array("I", [x.id for x in model(w if w.isascii() else w.encode().decode("latin-1").translate(letters))]).tobytes() for w in words])
+    tails = WordMemo(whole, 10_000)
+
+    def make(words):
+        parts = list(map(_PLAIN.fullmatch, words))
+        cores.ensure([m[1].lower() for m in parts if m])
+        tails.ensure([m[2] for m in parts if m])
+        other = iter(whole([w for w, m in zip(words, parts, strict=True) if not m]))
+        return [cores.at(m[1].lower()) + tails.at(m[2]) if m else next(other) for m in parts]
+
+    return WordMemo(make)
 
 
 def ids_of(text: str | None, memo: WordMemo, end: bytes) -> bytes:
     words = (text or "").replace("\n", " ").split(" ")
     memo.ensure(words)
-    return b"".join(map(memo.__getitem__, words)) + end
+    return b"".join(map(memo.at, words)) + end
 
 
 def chunks(docs: DataFrame, rules: PackRules, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
