@@ -22,6 +22,7 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import WORD, WordMemo, map_rows, tokenizer_path
@@ -126,41 +127,60 @@ SCHEMA = (
 )
 
 
+def judge(rules: FertilityRules):
+    """f(text, lang) -> the columns of ``SCHEMA`` behind doc_id. Loads the vocabulary: call once a task."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(rules.vocabulary, rules.folder))
+    is_byte = np.array([sp.is_byte(i) for i in range(sp.get_piece_size())])
+    memo = WordMemo(lambda words: [array("I", ids).tobytes() for ids in sp.encode(words, num_threads=1)])
+
+    def of(text: str | None, lang: str | None) -> tuple:
+        text = text or ""
+        words = WORD.findall(text)
+        memo.ensure(words)
+        ids = np.frombuffer(b"".join(map(memo.at, words)), dtype=np.uint32)
+        n, chars = len(ids), sum(map(len, words))
+        counts = np.bincount(ids, minlength=len(is_byte))
+        some = counts[counts > 0]
+        entropy = math.log2(n) - float(some @ np.log2(some)) / n if n else 0.0
+        cpt = chars / n if n else 0.0
+        share = int(counts[is_byte].sum()) / n if n else 0.0
+        repeats = repeated_words(words)
+        base = len(words) < rules.min_words or 100 * repeats > rules.max_repeat_percent * len(words)
+        reason = "base" if base else None
+        if not base:
+            band = rules.languages.get(lang) or rules.scripts[script_of(text)]
+            if not band.chars_per_token[0] <= cpt <= band.chars_per_token[1]:
+                reason = "fertility"
+            elif share > band.byte_share:
+                reason = "byte_fallback"
+            elif entropy < rules.floor(n) + band.entropy_shift:
+                reason = "entropy"
+        return len(words), chars, sum(map(text.count, SYMBOLS)), repeated_lines(text), repeats, base, reason is None, n, cpt, share, entropy, reason
+
+    return of
+
+
 def quality_rules(docs: DataFrame, rules: FertilityRules | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per row of ``docs`` with the counts, the fertility measures, ``kept`` and the first reason against it."""
     rules = rules or FertilityRules()
 
     def make():
-        import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(rules.vocabulary, rules.folder))
-        is_byte = np.array([sp.is_byte(i) for i in range(sp.get_piece_size())])
-        memo = WordMemo(lambda words: [array("I", ids).tobytes() for ids in sp.encode(words, num_threads=1)])
-
-        def judge(doc_id, text, lang):
-            text = text or ""
-            words = WORD.findall(text)
-            memo.ensure(words)
-            ids = np.frombuffer(b"".join(map(memo.at, words)), dtype=np.uint32)
-            n, chars = len(ids), sum(map(len, words))
-            counts = np.bincount(ids, minlength=len(is_byte))
-            some = counts[counts > 0]
-            entropy = math.log2(n) - float(some @ np.log2(some)) / n if n else 0.0
-            cpt = chars / n if n else 0.0
-            share = int(counts[is_byte].sum()) / n if n else 0.0
-            repeats = repeated_words(words)
-            base = len(words) < rules.min_words or 100 * repeats > rules.max_repeat_percent * len(words)
-            reason = "base" if base else None
-            if not base:
-                band = rules.languages.get(lang) or rules.scripts[script_of(text)]
-                if not band.chars_per_token[0] <= cpt <= band.chars_per_token[1]:
-                    reason = "fertility"
-                elif share > band.byte_share:
-                    reason = "byte_fallback"
-                elif entropy < rules.floor(n) + band.entropy_shift:
-                    reason = "entropy"
-            return (doc_id, len(words), chars, sum(map(text.count, SYMBOLS)), repeated_lines(text), repeats, base, reason is None, n, cpt, share, entropy, reason)
-
-        return lambda ids, texts, langs: map(judge, ids, texts, langs)
+        of = judge(rules)
+        return lambda ids, texts, langs: ((i, *of(t, lang)) for i, t, lang in zip(ids, texts, langs, strict=True))
 
     return map_rows(docs.select(id_col, text_col, lang_col), SCHEMA, make)
+
+
+def keep_good(docs: DataFrame, rules: FertilityRules | None = None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that are kept, unchanged; no join, so repeated ids are judged row by row."""
+    rules = rules or FertilityRules()
+    text, lang = docs.columns.index(text_col), docs.columns.index(lang_col)
+
+    def run(batches):
+        of = judge(rules)
+        for b in batches:
+            yield b.filter(pa.array([of(t, x)[6] for t, x in zip(b.column(text).to_pylist(), b.column(lang).to_pylist(), strict=True)], type=pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
