@@ -98,11 +98,11 @@ def drop_leaked(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", **ru
 
 
 ORACLE = r"""
-WITH i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') AS w FROM benchmark),
+WITH i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
 ik AS (SELECT item_id, w, least(len(w), 5) AS k FROM i WHERE len(w) > 0),
 ish AS (SELECT DISTINCT item_id, array_to_string(w[p : p + k - 1], ' ') AS s FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM ik)),
 n AS (SELECT item_id, count(*) AS n_item FROM ish GROUP BY item_id),
-d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') AS w FROM documents),
+d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
 k AS (SELECT DISTINCT k FROM ik),
 dsh AS (SELECT DISTINCT doc_id, array_to_string(w[p : p + k - 1], ' ') AS s FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, k WHERE len(w) >= k))
 SELECT doc_id, item_id, n_item, count(*) AS n_shared, count(*) / n_item::DOUBLE AS containment
