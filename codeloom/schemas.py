@@ -32,7 +32,7 @@ EDGES = T.StructType([
 
 EMBEDDINGS = T.StructType([
     T.StructField("qualified_name", T.StringType(), False),
-    T.StructField("vector", T.ArrayType(T.FloatType(), False), False),
+    T.StructField("vector", T.ArrayType(T.FloatType()), False),
     T.StructField("text_hash", T.StringType(), False),
     T.StructField("provider", T.StringType(), False),
 ])
