@@ -31,10 +31,15 @@ class Syntax:
 
 
 _C_FUNCTION = rf"(?m)^[ \t]*(?:[\w:<>,*&\[\]]+[\s*&]+)+?((?:{_ID}::)*~?{_ID})\s*\([^;{{}}()]*(?:\([^()]*\)[^;{{}}()]*)*\)\s*(?:const\s*|noexcept\s*|override\s*)*(?::[^;{{]*)?\{{"
-_JAVA_METHOD = rf"(?m)^[ \t]*(?:@\w+(?:\([^)]*\))?\s*)*(?:(?:public|private|protected|internal|static|final|abstract|virtual|override|async|sealed|synchronized|partial|default|native|readonly|unsafe|extern|new)\s+)*(?:<[^>]+>\s*)?(?:[\w.<>,\[\]?]+\s+)?({_ID})\s*\([^;{{}}]*?\)\s*(?:throws\s+[\w.,\s]+)?(?::\s*(?:base|this)\([^)]*\)\s*)?(?:\{{|=>|;)"
+_BEGIN = r"(?m)(?:^|(?<=[{};]))\s*"
+_NOT_TYPE = r"(?!(?:return|throw|new|else|await|yield|case|goto|in|package|import|using)\b)"
+_MODIFIERS = r"(?:@\w+(?:\([^)]*\))?\s*)*(?:(?:public|private|protected|internal|static|final|abstract|virtual|override|async|sealed|synchronized|partial|default|native|readonly|unsafe|extern)\s+)*"
+_PARAMS = r"\s*\([^;{}]*?\)\s*"
+_TYPED_METHOD = rf"{_BEGIN}{_MODIFIERS}{_NOT_TYPE}(?:<[^>]+>\s*)?[\w.<>,\[\]?]+\s+({_ID}){_PARAMS}(?:throws\s+[\w.,\s]+)?(?:\{{|=>|;)"
+_CONSTRUCTOR = rf"{_BEGIN}{_MODIFIERS}{_NOT_TYPE}({_ID}){_PARAMS}(?:throws\s+[\w.,\s]+)?(?::\s*(?:base|this)\([^)]*\)\s*)?\{{"
 _JS = Syntax(
     rf"\bclass\s+({_ID})[^{{;]*\{{", (rf"\bfunction\s*\*?\s*({_ID})\s*(?:<[^>]*>)?\(",), r"""\bimport\b[^;'"]*['"]([^'"]+)['"]""", rf"\b(?:extends|implements)\s+([\w$.]+(?:\s*,\s*[\w$.]+)*)",
-    methods=(rf"(?m)^[ \t]*(?:(?:public|private|protected|static|async|get|set|readonly|override|abstract)\s+)*\*?\s*({_ID})\s*(?:<[^>]*>)?\([^;{{}}]*\)\s*(?::[^{{;=]+)?\{{",),
+    methods=(rf"{_BEGIN}(?:(?:public|private|protected|static|async|get|set|readonly|override|abstract)\s+)*\*?\s*({_ID})\s*(?:<[^>]*>)?\([^;{{}}]*\)\s*(?::[^{{;=]+)?\{{",),
 )
 
 SYNTAX: dict[str, Syntax] = {
@@ -43,8 +48,8 @@ SYNTAX: dict[str, Syntax] = {
     "tsx": _JS,
     "go": Syntax(rf"\btype\s+({_ID})\s+(?:struct|interface)\s*\{{", (rf"\bfunc\s+({_ID})\s*(?:\[[^\]]*\])?\(",), r"(?m)^\s*(?:import\s+)?(?:\w+\s+)?\"([^\"]+)\"\s*$"),
     "rust": Syntax(rf"\b(?:struct|enum|impl(?:\s*<[^>]*>)?(?:\s+[\w:<>]+\s+for)?)\s+({_ID})[^;{{(]*[{{;(]", (rf"\bfn\s+({_ID})\s*(?:<[^>]*>)?\(",), r"\buse\s+([^;]+);", calls=rf"({_ID})!?\s*[(\[{{]|({_ID})\s*\("),
-    "java": Syntax(rf"\b(?:class|interface|enum)\s+({_ID})[^{{;]*\{{", (), r"\bimport\s+(?:static\s+)?([\w.*]+)\s*;", r"\b(extends\s+[\w.<>]+|implements\s+[\w.<>,\s]+?)(?=\s+implements|\s*\{)", methods=(_JAVA_METHOD,)),
-    "csharp": Syntax(rf"\b(?:class|interface|enum|struct)\s+({_ID})[^{{;]*\{{", (), r"\busing\s+(?:static\s+)?([\w.]+)\s*;", r":\s*([\w.<>,\s]+)", methods=(_JAVA_METHOD,)),
+    "java": Syntax(rf"\b(?:class|interface|enum)\s+({_ID})[^{{;]*\{{", (), r"\bimport\s+(?:static\s+)?([\w.*]+)\s*;", r"\b(extends\s+[\w.<>]+|implements\s+[\w.<>,\s]+?)(?=\s+implements|\s*\{)", methods=(_TYPED_METHOD, _CONSTRUCTOR)),
+    "csharp": Syntax(rf"\b(?:class|interface|enum|struct)\s+({_ID})[^{{;]*\{{", (), r"\busing\s+(?:static\s+)?([\w.]+)\s*;", r":\s*([\w.<>,\s]+)", methods=(_TYPED_METHOD, _CONSTRUCTOR)),
     "c": Syntax(rf"\b(?:typedef\s+)?struct\s+({_ID})\s*\{{", (_C_FUNCTION,), r"(?m)^[ \t]*#[ \t]*include[ \t]*([<\"][^>\"]+[>\"])"),
     "cpp": Syntax(rf"\b(?:class|struct)\s+({_ID})\s*(?:final\s*)?(?::[^{{;]*)?\{{", (_C_FUNCTION,), r"(?m)^[ \t]*#[ \t]*include[ \t]*([<\"][^>\"]+[>\"])", r":\s*((?:\s*,?\s*(?:public|private|protected|virtual)?\s*[\w:]+)+)"),
     "kotlin": Syntax(rf"\b(?:class|interface|object)\s+({_ID})[^{{\n]*", (rf"\bfun\s+(?:<[^>]*>\s*)?(?:[\w.]+\.)?({_ID})\s*\(",), r"(?m)^[ \t]*(import\s+[\w.*]+)", r":\s*([\w.<>(),\s]+)"),
@@ -117,7 +122,7 @@ def extract(report: Report, text: str) -> None:
             for m in re.finditer(p, code):
                 name = m[1].rsplit("::", 1)[-1]
                 cls = owner(m.start(1))
-                if m.start(1) in taken or name in _NOT_CALLS - {"constructor"} or (inside and cls is None):
+                if m.start(1) in taken or (inside and (cls is None or name in _NOT_CALLS - {"constructor"})):
                     continue
                 taken.add(m.start(1))
                 end = end_of(code, m.start() if syn.ends else m.end(1))
