@@ -6,15 +6,17 @@ weighted sampling draws ``bands * rows`` samples from every text; two texts' sam
 weighted Jaccard similarity. Samples are banded, texts that share a band meet in a bucket, and what meets is verified by
 exact weighted Jaccard similarity on all shingles.
 
-No bucket is expanded into all its pairs. Links are found in rounds: each bucket that holds more than one class so far
-compares its members with one leader, and connected components merge. What the rounds leave apart is settled exactly:
-a text whose shingles that no other candidate has weigh more than 1 - threshold can reach the threshold with none; the
-remaining members outside their bucket's largest class are compared with every member of another class. So no candidate
-pair of different classes stays unverified.
+No bucket is expanded into all its pairs. What a text shares with another is at most what it does not have alone among
+the candidates, also cell by cell when shingles are dealt into cells by hash. That bounds every pair's similarity from
+above by a few numbers of each text; pairs that cannot reach the threshold are left out. Links are found in rounds: each bucket that holds more than one class so far compares its members with one
+leader, first with the one that has least alone, and connected components merge. What the rounds leave apart is settled
+exactly: members outside their bucket's largest class are compared with every member of another class that the bound
+does not rule out. So no pair of different classes that could be a link stays unverified.
 
 Equal texts are one text from the start (MD5 of the bytes). Words are runs of letters, digits and underscores,
 lower-cased. A text of one to four words is one shingle. Null counts as empty; texts without words form classes by
-equality only. Repeated rows are in one class; extra columns are ignored; ``class_id`` is the class's least ``doc_id``.
+equality only. Repeated rows are in one class; extra columns are ignored; ``class_id`` is the class's least ``doc_id``. A
+text that only rows without an id have is in a class by equality only.
 """
 
 from __future__ import annotations
@@ -43,7 +45,8 @@ class NearRules:
     bands: int = 12
     rows: int = 3
     buckets: int = 1 << 16  #: of word hashes, for document frequencies
-    rounds: int = 3
+    rounds: int = 1
+    cells: int = 64  #: of shingle hashes, for the bound on what two texts share
     broadcast_rows: int = 200_000  #: a side of so many counted rows of fixed width, at most, may be broadcast
 
 
@@ -63,7 +66,7 @@ def hashed_words(rules: NearRules) -> WordMemo:
             h = word_hash(w)
             yield h.to_bytes(8, "little") + ((h >> 40) % rules.buckets).to_bytes(4, "little")
 
-    return WordMemo(lambda words: list(make(words)))
+    return WordMemo(lambda words: list(make(words)), 300_000)
 
 
 def words_of(text: str | None, memo: WordMemo) -> np.ndarray:
@@ -246,25 +249,45 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def unshared(texts: DataFrame, idf: np.ndarray, rules: NearRules) -> DataFrame:
-    """(tkey, part): the part of a text's weight that lies on shingles which no other of ``texts`` has."""
+def weights(texts: DataFrame, idf: np.ndarray, rules: NearRules) -> DataFrame:
+    """(tkey, w, u, s) of every text with shingles: its weight; that part of it which lies on shingles that no other of
+    ``texts`` has; and the other part, dealt by shingle hash into ``rules.cells`` sums."""
 
     def run(batches):
         memo = hashed_words(rules)
+        cells = np.arange(rules.cells)
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 h, w = vector(text, memo, idf, rules)
-                if len(h):
-                    share = w.astype(np.float64) / float(w.sum(dtype=np.float64))
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([key] * len(h), type=pa.binary()), pa.array(share)], names=["h", "tkey", "share"])
-
-    one = texts.select("tkey", "text").mapInArrow(run, "h long, tkey binary, share double")
-    one = one.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("tkey").alias("tkey"), F.sum("share").alias("share")).where(F.col("n") == 1)
-    return one.groupBy("tkey").agg(F.sum("share").alias("part"))
+                if not len(h):
+                    continue
+                w = w.astype(np.float64)
+                cell = (h % np.uint64(rules.cells)).astype(np.int64)
+                # Minus the cells' sums on keys of the text's own: what stays when its lone shingles are added is minus the rest.
+                own = np.uint64(int.from_bytes(key[:8], "little")) ^ np.uint64(0x5555555555555555)
+                h = np.concatenate([h, mixed(own + cells.astype(np.uint64) * _MIX)])
+                total, w = float(w.sum()), np.concatenate([w, -np.bincount(cell, w, rules.cells)])
+                halves = np.frombuffer(key, ">i8").astype(np.int64)
+                cols = [h.view(np.int64), np.concatenate([cell, cells]), *(np.full(len(h), x) for x in halves), w, np.full(len(h), total)]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), names=["h", "cell", "k1", "k2", "weight", "total"])
+
+    # Keys travel as two numbers, for which Spark aggregates by hash.
+    one = texts.select("tkey", "text").mapInArrow(run, "h long, cell long, k1 long, k2 long, weight double, total double")
+    one = one.groupBy("h").agg(F.count(F.lit(1)).alias("n"), *[F.max(c).alias(c) for c in ("cell", "k1", "k2", "weight", "total")]).where(F.col("n") == 1)
+    sums = one.groupBy("k1", "k2", "cell").agg((-F.sum("weight")).alias("shared"), F.max("total").alias("w"))
+    sums = sums.groupBy("k1", "k2").agg(F.max("w").alias("w"), F.sum("shared").alias("_s"), F.array_sort(F.collect_list(F.struct("cell", "shared"))).alias("_l"))
+    whole = F.unhex(F.concat(*[F.lpad(F.hex(k), 16, "0") for k in ("k1", "k2")]))
+    return sums.select(whole.alias("tkey"), "w", (F.col("w") - F.col("_s")).alias("u"), F.col("_l.shared").alias("s"))
+
+
+def reachable(wa, wb, common, threshold: float):
+    """Whether texts of such weights that share at most ``common`` can reach the threshold."""
+    return common >= (threshold - 1e-5) * (wa + wb - common)
 
 
 def near_classes(docs: DataFrame, rules: NearRules | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id, class_size (documents), class_texts (different texts), is_first."""
+    """One row per row of ``docs``: doc_id, class_id, class_size (documents), class_texts (different texts), is_first (of the
+    class's least id), text_md5."""
     rules = rules or NearRules()
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     idf = inverse_frequencies(docs, rules, "text")
@@ -272,7 +295,7 @@ def near_classes(docs: DataFrame, rules: NearRules | None = None, id_col: str =
 
     # Texts that meet in a bucket.
     met = signed.select("tkey", F.explode("bands").alias("v")).distinct()
-    sizes = met.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("tkey").alias("leader")).where(F.col("n") > 1).select("v", "leader")
+    sizes = met.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("v")
     members = materialize(met.join(sizes, "v"), "near-members")
     keys = members.select("tkey").distinct()
     reps = materialize(signed.join(keys, "tkey", "left_semi").groupBy("tkey").agg(F.min("doc_id").alias("rep")), "near-reps")
@@ -294,72 +317,68 @@ def near_classes(docs: DataFrame, rules: NearRules | None = None, id_col: str =
     own = own.select("tkey", "comp").join(classes, "comp").select("tkey", "class_id", "class_size", "class_texts")
     own = materialize(own, "near-classes")
     result = signed.select("doc_id", "tkey").join(own, "tkey")
-    return result.select("doc_id", "class_id", "class_size", "class_texts", (F.col("doc_id") == F.col("class_id")).alias("is_first"))
+    first = F.col("doc_id").eqNullSafe(F.col("class_id"))
+    return result.select("doc_id", "class_id", "class_size", "class_texts", first.alias("is_first"), F.lower(F.hex("tkey")).alias("text_md5"))
 
 
 def _link(members: DataFrame, texts: DataFrame, idf: np.ndarray, rules: NearRules) -> tuple[DataFrame | None, DataFrame | None]:
     """All links that matter for the classes, and the classes' labels."""
-    pairs = materialize(members.where(F.col("tkey") != F.col("leader")).select(F.col("tkey").alias("a"), F.col("leader").alias("b")).distinct(), "near-pairs")
-    tested, found, labels = pairs, None, None
+    t, found, labels, tested = rules.threshold, None, None, None
+    info = materialize(weights(texts, idf, rules).where(F.col("u") <= (1 - t + 1e-5) * F.col("w")), "near-weights")
+    rows = materialize(members.select("v", "tkey").join(info.drop("s"), "tkey"), "near-members")
+    alone = lambda w, u: F.col(w) - F.col(u)
 
-    def verify(pairs: DataFrame) -> bool:
-        nonlocal found, labels
-        new = materialize(links(pairs, texts, idf, rules), "near-links")
-        if new.isEmpty():
-            return False
-        found = new if found is None else found.union(new)
-        labels = components(found)
-        return True
-
-    def labelled() -> DataFrame:
-        """Members of the buckets that hold more than one class."""
+    def open_rows() -> DataFrame:
+        """Members of the buckets that hold more than one class so far, with their classes."""
         if labels is None:
-            rows = members.select("v", "tkey", F.col("tkey").alias("comp"))
+            now = rows.withColumn("comp", F.col("tkey"))
         else:
-            rows = members.select("v", "tkey").join(labels, "tkey", "left").withColumn("comp", F.coalesce("comp", "tkey"))
-        rows = materialize(rows, "near-labelled")
-        mixed_ = rows.groupBy("v").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where(F.col("_lo") != F.col("_hi")).select("v")
-        return rows.join(mixed_, "v", "left_semi")
-
-    def untested(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs, the smaller key first or last as given, that were not compared yet in either order."""
-        ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return ordered.join(done, ["a", "b"], "left_anti")
-
-    verify(pairs)
-    for r in range(1, rules.rounds):
-        rows = labelled()
-        order = F.xxhash64("tkey", F.lit(r))
-        leaders = rows.groupBy("v").agg(F.min(F.struct(order.alias("o"), "tkey", "comp")).alias("l")).select("v", F.col("l.tkey").alias("lead"), F.col("l.comp").alias("lead_comp"))
-        pairs = rows.join(leaders, "v").where(F.col("comp") != F.col("lead_comp")).select(F.col("tkey").alias("a"), F.col("lead").alias("b"))
-        pairs = materialize(untested(pairs), "near-pairs")
-        if pairs.isEmpty():
-            break
-        tested = tested.union(pairs)
-        if not verify(pairs):
-            break
-
-    # What is left: exact, with the texts that can have no link at all taken out first.
-    rows = materialize(labelled(), "near-open")
-    if rows.isEmpty():
-        return found, labels
-    alone = unshared(texts.join(rows.select("tkey").distinct(), "tkey", "left_semi"), idf, rules).where(F.col("part") > 1 - rules.threshold + 1e-6)
-    rows = materialize(rows.join(alone.select("tkey"), "tkey", "left_anti"), "near-open")
-    sizes = rows.groupBy("v", "comp").agg(F.count(F.lit(1)).alias("n"))
+            now = rows.join(labels, "tkey", "left").withColumn("comp", F.coalesce("comp", "tkey"))
+        now = materialize(now.select("v", "tkey", "w", "u", "comp"), "near-open")
+        several = now.groupBy("v").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where(F.col("_lo") != F.col("_hi")).select("v")
+        return now.join(several, "v", "left_semi")
+
+    def verify(pairs: DataFrame) -> None:
+        """Compares the pairs (tkey, other) that were not compared before, in either order."""
+        nonlocal found, labels, tested
+        pairs = pairs.select(F.least("tkey", "other").alias("a"), F.greatest("tkey", "other").alias("b")).distinct()
+        pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
+        tested = pairs if tested is None else tested.union(pairs)
+        new = materialize(links(pairs, texts, idf, rules), "near-links")
+        if not new.isEmpty():
+            found = new if found is None else found.union(new)
+            labels = components(found)
+
+    for r in range(rules.rounds):
+        now = open_rows()
+        # First the member with the least of its own, which is nearest to all others; later ones in hash order.
+        order = F.col("u") / F.col("w") if r == 0 else (F.xxhash64("tkey", F.lit(r)) / F.lit(2.0**63))
+        lead = now.groupBy("v").agg(F.min(F.struct(order.alias("o"), "tkey", "comp", "w", "u")).alias("l"))
+        lead = lead.select("v", F.col("l.tkey").alias("other"), F.col("l.comp").alias("comp_l"), F.col("l.w").alias("w_l"), F.col("l.u").alias("u_l"))
+        pairs = now.join(lead, "v").where((F.col("comp") != F.col("comp_l")) & reachable(F.col("w"), F.col("w_l"), F.least(alone("w", "u"), alone("w_l", "u_l")), t))
+        verify(pairs.select("tkey", "other"))
+
+    # What is still apart, exactly: every member outside its bucket's largest class against every member of another class.
+    now = open_rows().join(info.select("tkey", "s"), "tkey")
+    sizes = now.groupBy("v", "comp").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("v").agg(F.max(F.struct("n", "comp")).alias("m")).select("v", F.col("m.comp").alias("main"))
-    rest = rows.join(main, "v").where(F.col("comp") != F.col("main")).select("v", F.col("tkey").alias("a"), F.col("comp").alias("comp_a"))
-    pairs = rest.join(rows.select("v", F.col("tkey").alias("b"), F.col("comp").alias("comp_b")), "v").where(F.col("comp_a") != F.col("comp_b")).select("a", "b")
-    pairs = materialize(untested(pairs), "near-pairs")
-    if not pairs.isEmpty():
-        verify(pairs)
+    rest = now.join(main, "v").where(F.col("comp") != F.col("main")).drop("main")
+    other = now.select(F.col("v").alias("v_o"), F.col("tkey").alias("other"), F.col("comp").alias("comp_o"), F.col("w").alias("w_o"), F.col("u").alias("u_o"), F.col("s").alias("s_o"))
+    in_cells = F.aggregate(F.zip_with("s", "s_o", lambda x, y: F.least(x, y)), F.lit(0.0), lambda a, x: a + x)
+    can = reachable(F.col("w"), F.col("w_o"), F.least(alone("w", "u"), alone("w_o", "u_o")), t) & reachable(F.col("w"), F.col("w_o"), in_cells, t)
+    verify(rest.join(other, (F.col("v") == F.col("v_o")) & (F.col("comp") != F.col("comp_o")) & can).select("tkey", "other"))
     return found, labels
 
 
 def drop_near_copies(docs: DataFrame, rules: NearRules | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each class: the one of least id. A repeated row of that id stays once."""
-    first = near_classes(docs, rules, id_col, text_col).where("is_first").select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, docs[id_col] == F.col("_first"), "left_semi")
-    return kept
+    """``docs`` with one document of each class: the one of least id. A repeated row of that id and text stays once."""
+    first = near_classes(docs, rules, id_col, text_col).where("is_first")
+    first = materialize(first.groupBy(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5"), "class_id").agg(F.count(F.lit(1)).alias("_n")), "near-first")
+    md5 = F.md5(F.coalesce(docs[text_col], F.lit("")))
+    pick = lambda ids: docs.join(ids, docs[id_col].eqNullSafe(ids["_id"]) & (md5 == ids["_md5"]), "left_semi")
+    # One id and text may stand first for a class only; of several texts of one id in a class, the least stays.
+    one = first.groupBy("class_id", "_id").agg(F.min("_md5").alias("_md5"), F.min_by("_n", "_md5").alias("_n"))
+    kept, again = pick(one.where(F.col("_n") == 1)), one.where(F.col("_n") > 1)
+    return kept if again.isEmpty() else kept.union(pick(again).dropDuplicates([id_col, text_col]))
 
 
