@@ -10,7 +10,8 @@ words.
 
 Words are runs of letters and digits, lower-cased. An item of fewer words than a shingle is one shingle of all its
 words; an item without words is never found. Null or empty texts hold nothing. Repeated item rows give one result per
-item id; repeated document rows likewise. Extra columns are ignored. Either table may be empty.
+item id; repeated document rows likewise. Rows that share an id share its verdict; a row without an id is never reported
+and stays. Extra columns are ignored. Either table may be empty.
 """
 
 from __future__ import annotations
@@ -94,7 +95,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
 def drop_leaked(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", **rules) -> DataFrame:
     """``docs`` without those that hold a test item."""
     leaked = find_leaks(docs, items, doc_col=doc_col, **rules).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, docs[doc_col] == F.col("_leaked"), "left_anti")
+    return docs.join(leaked, docs[doc_col] == leaked["_leaked"], "left_anti")
 
 
 ORACLE = r"""

@@ -272,7 +272,9 @@ def pack(docs: DataFrame, rules: PackRules | None = None, id_col: str = "doc_id"
     slices = slices.groupBy("j").agg(F.collect_list(F.struct("lo", "hi", "sequence_id", "offset")).alias("slices"))  # at most ``length`` a fill piece
     fill = placed.where((F.col("cls") == -1) & (F.col("sequence_id") < n_used)).select(*order, F.col("sequence_id").alias("j"))
     ids = cut.where(F.col("cls") == -1).select(*order, "doc_tokens", "ids").dropDuplicates(order)
-    filled = fill.join(ids, order).join(slices, "j").select("doc_id", "start", "doc_tokens", "ids", "slices")
+    ids = ids.select(*[F.col(c).alias(f"i_{c}") for c in order], "doc_tokens", "ids")
+    same = [F.col(c).eqNullSafe(F.col(f"i_{c}")) for c in order]
+    filled = fill.join(ids, same).join(slices, "j").select("doc_id", "start", "doc_tokens", "ids", "slices")
 
     def make():
         def slice_up(doc_id, start, doc_tokens, ids, parts):

@@ -20,6 +20,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -169,19 +170,15 @@ def redact_text(text: str | None, anchors, redaction: Redaction = Redaction()) -
 
 def redact(docs: DataFrame, text_col: str = "text", redaction: Redaction = Redaction()) -> DataFrame:
     """``docs`` with personal data in ``text_col`` replaced; every other column is carried along."""
-    schema, at = docs.schema, docs.columns.index(text_col)
+    at = docs.columns.index(text_col)
 
-    def make():
+    def run(batches):
         anchors = automaton()
+        for b in batches:
+            texts = pa.array([redact_text(t, anchors, redaction) for t in b.column(at).to_pylist()], type=b.schema.field(at).type)
+            yield b.set_column(at, b.schema.field(at), texts)
 
-        def run(*cols):
-            cols = list(cols)
-            cols[at] = [redact_text(t, anchors, redaction) for t in cols[at]]
-            return zip(*cols, strict=True)
-
-        return run
-
-    return map_rows(docs, schema, make)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

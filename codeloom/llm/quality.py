@@ -133,7 +133,7 @@ def judge(rules: FertilityRules):
 
     sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(rules.vocabulary, rules.folder))
     is_byte = np.array([sp.is_byte(i) for i in range(sp.get_piece_size())])
-    memo = WordMemo(lambda words: [array("I", ids).tobytes() for ids in sp.encode(words, num_threads=1)])
+    memo = WordMemo(lambda words: [array("I", ids).tobytes() for ids in sp.encode(words, num_threads=1)], 500_000)
 
     def of(text: str | None, lang: str | None) -> tuple:
         text = text or ""

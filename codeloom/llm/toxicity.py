@@ -10,7 +10,7 @@ words' plus the bias. Every whole text is scored, map-only.
 
 Labels are learned only from rows that are not held out (crc32 of the id as text, mod 5, is not 0); a document with
 several labels takes the largest, null labels are ignored. Without two classes in the sample every score is the base
-rate. Null and empty texts have no words and score by the bias alone. Repeated rows are scored row by row; extra columns
+rate. Null and empty texts have no words and score by the bias alone; a null id is not held out. Repeated rows are scored row by row; extra columns
 are ignored. Language, source and id are never inputs of a score.
 """
 
@@ -127,7 +127,7 @@ def train(texts: list[str], labels: list[int], rules: ToxicRules) -> Model:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string")) % 5 == 0
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
 def sample(docs: DataFrame, labels: DataFrame, rules: ToxicRules, id_col: str, text_col: str) -> tuple[list[str], list[int]]:
