@@ -13,7 +13,7 @@ work is done in three steps.
    interleave refinement: starting from one interleave of all shards, each round reads the transforms in the order of
    the interleave and sorts the suffixes stably by the letter in front, which orders them by one letter more. Suffixes that
    stay together for ``length / letter`` rounds have that common prefix: they are the repeated intervals. Suffixes are
-   sorted within a shard only, never again over all shards.
+   sorted within a shard only; the merge reads transforms and never compares suffixes again.
 3. Removal. Settled and found windows become byte ranges of their documents, which are merged and cut out.
 
 A block that very many different strings share (``hot``) is not sent to one task: its windows are counted one by one, by
@@ -40,8 +40,8 @@ _U = np.uint64
 class RepeatRules:
     length: int = 400
     gram: int = 32  #: a power of two
-    step: int = 80
-    letter: int = 50  #: must divide ``length``
+    step: int = 100
+    letter: int = 100  #: of the transforms' alphabet, in bytes; divides ``length``
     block_bytes: int = 4 << 20  #: longer texts are read in overlapping blocks of so many bytes
     hot: int = 2_000  #: different strings of one block from which they are counted window by window
     task_bytes: int = 3 << 20  #: of strings in a task of step 2
@@ -117,104 +117,91 @@ def pieces(data: np.ndarray, rules: RepeatRules) -> tuple[np.ndarray, ...]:
 
 
 class Shard:
-    """Strings end to end, their suffix array over ``letter``-byte letters, and the transform: the letter before each suffix.
+    """Windows of some strings as texts of ``depth`` letters, with their suffix array and Burrows-Wheeler transform.
 
-    Suffixes sort by at most ``depth`` letters; equal ones stay in text order. Letters are compared by hash: any fixed order
-    of the alphabet serves. A letter that would cross a string's end is unlike every other.
+    Suffix ``i`` is that of window ``i // depth`` from its letter ``i % depth`` on. Letters are blocks of bytes and compare by
+    hash; any fixed order of the alphabet serves. ``transform`` has the letter before each suffix, in suffix order;
+    ``has_before`` is false for whole windows.
     """
 
-    def __init__(self, strings: list[bytes], base: int, rules: RepeatRules):
-        self.data = np.frombuffer(b"".join(strings), np.uint8)
-        n, letter = len(self.data), rules.letter
-        ends = np.cumsum([len(s) for s in strings])
-        sizes = np.diff(np.concatenate([[0], ends]))
-        left = np.repeat(ends, sizes) - np.arange(n)  # bytes up to the string's end
-        grams = Grams(self.data, letter)
-        sign = np.empty(n, np.uint64)
-        whole = left >= letter
-        sign[whole] = grams.at(np.flatnonzero(whole), letter)
-        sign[~whole] = mixed(np.arange(base, base + n, dtype=np.uint64)[~whole] * _FACTOR[44] + _FACTOR[45])
-        has = left > letter  # positions with a next letter; others end the string for this phase
-        self.sign, self.next = sign, np.where(has, np.arange(n) + letter, -1)
-        self.offset = np.repeat(ends - sizes, sizes)
-        self.string = np.repeat(np.arange(len(strings)), sizes)
-        self.prev = np.arange(n) - letter
-        self.prev[self.prev < self.offset] = -1
-        # Suffix array by refinement within the shard, deepest letter first.
-        order = np.arange(n)
-        for _ in range(rules.length // letter):
+    def __init__(self, strings: list[bytes], counts: list[int], rules: RepeatRules):
+        letter, self.depth = rules.letter, rules.length // rules.letter
+        grams = Grams(np.frombuffer(b"".join(strings), np.uint8), letter)
+        count = np.array(counts)
+        base = np.concatenate([[0], np.cumsum([len(x) for x in strings])[:-1]])
+        self.string = np.repeat(np.arange(len(strings)), count)
+        self.window = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        starts = base[self.string] + self.window
+        self.letters = grams.at((starts[:, None] + letter * np.arange(self.depth)).ravel(), letter)
+        order = np.arange(len(self.letters), dtype=np.int32)
+        self.ends = order[self.depth - 1 :: self.depth]
+        for _ in range(self.depth):
             order = self.refine(order)
         self.suffixes = order
-        before = self.prev[order]
-        self.has_before = before >= 0
-        self.transform = np.where(self.has_before, sign[before], 0)
+        self.has_before = order % self.depth > 0
+        self.transform = np.where(self.has_before, self.letters[order - 1], _U(0))
 
     def refine(self, order: np.ndarray) -> np.ndarray:
-        """From an order by k letters, the order by k + 1: suffixes without a successor first, the others as theirs lie."""
-        before = self.prev[order]
-        source = np.concatenate([np.flatnonzero(self.next < 0), before[before >= 0]])
-        return source[np.argsort(self.sign[source], kind="stable")]
+        """From an order of the suffixes by k letters, the order by k + 1."""
+        source = np.concatenate([self.ends, order[order % self.depth > 0] - 1])
+        return source[np.argsort(self.letters[source], kind="stable")]
 
 
-def merge(shards: list[Shard], rules: RepeatRules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(shard, position, group) of all suffixes in merged order; equal groups have ``length`` bytes in common.
+def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shard, suffix, group) of all suffixes in merged order; suffixes of one group agree in ``depth`` letters.
 
     The interleave is a sequence of shard numbers. A round reads each shard's transform along the interleave and sorts the
-    suffixes stably by the letter in front of them. A suffix's group says which suffixes agree with it in all rounds so far.
+    suffixes stably by the letter in front of them. Last letters are the only suffixes that no transform entry yields; they
+    lead every round. A suffix's group says which suffixes agreed with it in all rounds so far.
     """
     count = [len(s.suffixes) for s in shards]
-    total = sum(count)
-    # Suffixes that end a string lead every round; they are the only ones that no transform entry yields.
-    heads = [np.flatnonzero(s.next < 0) for s in shards]
-    head_sign = np.concatenate([s.sign[h] for s, h in zip(shards, heads, strict=True)])
-    head_shard = np.repeat(np.arange(len(shards)), [len(h) for h in heads])
-    inter = np.repeat(np.arange(len(shards)), count)
-    group = np.zeros(total, np.int64)
-    for r in range(rules.length // rules.letter):
-        letters, has = np.empty(total, np.uint64), np.empty(total, bool)
+    last = np.concatenate([s.letters[s.ends] for s in shards])
+    last_shard = np.repeat(np.arange(len(shards), dtype=np.int32), [len(s.ends) for s in shards])
+    inter = np.repeat(np.arange(len(shards), dtype=np.int32), count)
+    group = np.zeros(len(inter), np.int64)
+    for r in range(depth):
+        letters, has = np.empty(len(inter), np.uint64), np.empty(len(inter), bool)
         for i, s in enumerate(shards):
             at = inter == i
             letters[at], has[at] = s.transform, s.has_before
-        sign = np.concatenate([head_sign, letters[has]])
-        origin = np.concatenate([head_shard, inter[has]])
-        # A string's last letter may equal another; what would follow it is unlike everything.
-        ends = -1 - np.arange(len(head_sign)) if r else np.zeros(len(head_sign), np.int64)
+        letters = np.concatenate([last, letters[has]])
+        origin = np.concatenate([last_shard, inter[has]])
+        # A last letter may equal another; what would follow it is unlike everything.
+        ends = -1 - np.arange(len(last)) if r else np.zeros(len(last), np.int64)
         behind = np.concatenate([ends, group[has]])
-        order = np.argsort(sign, kind="stable")
-        sign, inter, behind = sign[order], origin[order], behind[order]
-        group = np.cumsum(np.concatenate([[0], (sign[1:] != sign[:-1]) | (behind[1:] != behind[:-1])]))
-    position = np.empty(total, np.int64)
+        order = np.argsort(letters, kind="stable")
+        letters, inter, behind = letters[order], origin[order], behind[order]
+        group = np.cumsum(np.concatenate([[0], (letters[1:] != letters[:-1]) | (behind[1:] != behind[:-1])]))
+    suffix = np.empty(len(inter), np.int64)
     for i, s in enumerate(shards):
-        position[inter == i] = s.suffixes
-    return inter, position, group
+        suffix[inter == i] = s.suffixes
+    return inter, suffix, group
 
 
 def repeated_windows(strings: list[bytes], counts: list[int], rules: RepeatRules) -> list[np.ndarray]:
     """For each string, which of its first ``counts`` windows also start anywhere else in ``strings``."""
-    shards, at, firsts, base = [], 0, [], 0
+    shards, firsts, at = [], [], 0
     while at < len(strings):
         end, size = at, 0
         while end < len(strings) and (end == at or size + len(strings[end]) <= rules.shard_bytes):
             size += len(strings[end])
             end += 1
-        shards.append(Shard(strings[at:end], base, rules))
+        shards.append(Shard(strings[at:end], counts[at:end], rules))
         firsts.append(at)
-        base, at = base + size, end
+        at = end
     hit = [np.zeros(c, bool) for c in counts]
     if not shards:
         return hit
-    inter, position, group = merge(shards, rules)
-    size = np.bincount(group)
-    many = size[group] > 1
+    depth = shards[0].depth
+    inter, suffix, group = merge(shards, depth)
+    whole = suffix % depth == 0
+    inter, window, group = inter[whole], suffix[whole] // depth, group[whole]
+    repeated = np.bincount(group)[group] > 1
     for i, s in enumerate(shards):
-        pos = position[many & (inter == i)]
-        within, owner = pos - s.offset[pos], s.string[pos]
-        order = np.argsort(owner, kind="stable")
-        within, owner = within[order], owner[order]
-        cut = np.flatnonzero(np.diff(owner)) + 1
-        for w, o in zip(np.split(within, cut), owner[np.concatenate([[0], cut])] if len(owner) else [], strict=False):
-            h = hit[firsts[i] + int(o)]
-            h[w[w < len(h)]] = True
+        flags = np.zeros(len(s.window), bool)
+        flags[window[repeated & (inter == i)]] = True
+        for j, part in enumerate(np.split(flags, np.flatnonzero(np.diff(s.string)) + 1)):
+            hit[firsts[i] + j] = part
     return hit
 
 
@@ -254,17 +241,18 @@ def repeated_ranges(docs: DataFrame, rules: RepeatRules) -> DataFrame:
             if held:
                 yield flush()
 
-    with_t = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), "text")
+    # A row is known by its id (0 for none) and its text: rows that share both share their repeats too.
+    with_t = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), "text")
     all_pieces = materialize(with_t.mapInArrow(cut, "doc_id long, t long, key long, whole long, first long, n long"), "repeat-pieces")
 
-    strings = all_pieces.groupBy("key", "whole").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "t", "first", "n")).alias("one"))
-    strings = materialize(strings.select("key", "whole", "copies", "one.*"), "repeat-strings")
+    strings = all_pieces.groupBy("key", "whole").agg(F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("doc_id", "t", "first", "n")])
+    strings = materialize(strings, "repeat-strings")
     blocks = strings.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.when(F.col("copies") == 1, 1).otherwise(0)).alias("single"), F.max("copies").alias("most")).where((F.col("kinds") > 1) | (F.col("most") > 1))
     blocks = materialize(blocks, "repeat-blocks")
 
     # Strings that occur as a whole more than once: all their windows repeat.
     whole = strings.where(F.col("copies") > 1).select("key", "whole")
-    settled = all_pieces.join(whole, ["key", "whole"]).select("doc_id", "t", F.col("first").alias("lo"), (F.col("first") + F.col("n") + (rules.length - 1)).alias("hi"))
+    settled = all_pieces.join(whole.hint("shuffle_hash"), ["key", "whole"]).select("doc_id", "t", F.col("first").alias("lo"), (F.col("first") + F.col("n") + (rules.length - 1)).alias("hi"))
 
     # Strings that occur once but share their block with other strings.
     some = blocks.where((F.col("kinds") > 1) & (F.col("single") > 0)).select("key", "kinds")
@@ -289,7 +277,7 @@ def repeated_ranges(docs: DataFrame, rules: RepeatRules) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, type=y) for c, y in zip(out, types, strict=True)], names=["key", "kinds", "once", "doc_id", "t", "first", "n", "s"])
 
     joined = wanted.join(text, (F.col("doc_id") == F.col("_d")) & (F.col("t") == F.col("_t"))).select("doc_id", "t", "asked", "text")
-    opened = materialize(joined.mapInArrow(fetch, "key long, kinds long, once boolean, doc_id long, t long, first long, n long, s binary").dropDuplicates(["key", "doc_id", "t", "first"]), "repeat-opened")
+    opened = materialize(joined.mapInArrow(fetch, "key long, kinds long, once boolean, doc_id long, t long, first long, n long, s binary"), "repeat-opened")
     total = opened.where(F.col("kinds") < rules.hot).agg(F.sum(F.length("s"))).first()[0] or 0
     tasks = int(max(1, -(-total // rules.task_bytes)))
 
@@ -345,7 +333,7 @@ def repeated_spans(docs: DataFrame, rules: RepeatRules | None = None, id_col: st
     ranges = ranges.select(F.col("doc_id").alias("_d"), F.col("t").alias("_t"), "ranges")
     ranges = materialize(ranges, "repeat-ranges")
     keyed = docs.withColumn("t", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return keyed.join(ranges, (keyed.doc_id == F.col("_d")) & (keyed.t == F.col("_t")), "left").select("doc_id", "text", "ranges")
+    return keyed.join(ranges, (F.coalesce(keyed.doc_id, F.lit(0)) == F.col("_d")) & (keyed.t == F.col("_t")), "left").select("doc_id", "text", "ranges")
 
 
 def remove_repeats(docs: DataFrame, rules: RepeatRules | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
