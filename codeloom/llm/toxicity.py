@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,8 +36,8 @@ class ToxicRules:
     buckets: int = 1 << 16
     width: int = 8
     grams: tuple[int, int] = (3, 5)
-    train_rows: int = 8_000  #: the sample: at most so many labelled documents,
-    train_chars: int = 32_000_000  #: of at most so many characters together
+    train_rows: int = 14_000  #: the sample: at most so many labelled documents,
+    train_chars: int = 56_000_000  #: of at most so many characters together
     epochs: int = 10
     batch: int = 256
     rate: float = 0.3
@@ -68,21 +69,20 @@ def train(texts: list[str], labels: list[int], rules: ToxicRules) -> Model:
     if not len(y) or y.min() == y.max():
         rate = (float(y.sum()) + 0.5) / (len(y) + 1.0)
         return Model(np.zeros(rules.buckets, np.float32), float(np.log(rate / (1 - rate))))
-    number: dict[str, int] = {}
-    grams, starts = [], [0]
-    docs = []
+    # Words by the hash of their spelling; a word's n-grams lie one behind the other in ``flat``.
+    number: dict[int, int] = {}
+    grams, starts, docs = array("i"), array("q", [0]), []
     for text in texts:
-        ids = []
+        ids = array("i")
         for w in words_of(text):
-            i = number.setdefault(w, len(number))
+            i = number.setdefault(hash(w), len(number))
             if i == len(starts) - 1:
-                g = subwords(w, rules)
-                grams.append(np.array(g, dtype=np.int32))
-                starts.append(starts[-1] + len(g))
+                grams.extend(subwords(w, rules))
+                starts.append(len(grams))
             ids.append(i)
-        docs.append(np.unique(np.array(ids, dtype=np.int32), return_counts=True))
-    flat, starts = np.concatenate(grams or [np.zeros(0, np.int32)]), np.array(starts)
-    del grams, number
+        docs.append(np.unique(np.frombuffer(ids, np.int32), return_counts=True))
+    flat, starts = np.frombuffer(grams, np.int32), np.frombuffer(starts, np.int64)
+    del number
 
     rng = np.random.default_rng(rules.seed)
     E = rng.normal(0, 0.1, (rules.buckets, rules.width)).astype(np.float32)
