@@ -1,6 +1,7 @@
 """Near-duplicate classes by consistent weighted sampling (operator 8).
 
-Five-word shingles are weighted by TF-IDF: (1 + ln tf) times the mean inverse document frequency of the shingle's words.
+Five-word shingles are weighted by TF-IDF: (1 + ln tf) times the mean inverse document frequency of the shingle's words,
+scaled to between 1 and 2 so that no rare word outweighs a text.
 Document frequencies are counted over all documents, by word-hash bucket (a table of fixed size). Improved consistent
 weighted sampling draws ``bands * rows`` samples from every text; two texts' samples agree with the probability of their
 weighted Jaccard similarity. Samples are banded, texts that share a band meet in a bucket, and what meets is verified by
@@ -168,7 +169,10 @@ class Sampler:
 
 
 def inverse_frequencies(docs: DataFrame, rules: NearRules, text_col: str) -> np.ndarray:
-    """ln(1 + documents / documents with a word of the bucket), for every word bucket; counted over all documents."""
+    """Inverse document frequency of every word bucket, from 1 (in all documents) to 2 (in none), counted over all documents.
+
+    1 + ln((1 + documents) / (1 + documents with a word of the bucket)) / ln(2 + documents)
+    """
 
     def run(batches: Iterator[pa.RecordBatch]):
         memo, seen, n = hashed_words(rules), np.zeros(rules.buckets, np.int64), 0
@@ -182,10 +186,9 @@ def inverse_frequencies(docs: DataFrame, rules: NearRules, text_col: str) -> np.
     rows = docs.select(text_col).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = dict(zip(rows["bucket"].to_pylist(), rows["n"].to_pylist(), strict=True))
     n = counts.pop(-1, 0)
-    idf = np.full(rules.buckets, math.log1p(max(n, 1)), np.float32)
-    if counts:
-        idf[list(counts)] = np.log1p(n / np.array(list(counts.values()), dtype=np.float64))
-    return idf
+    df = np.zeros(rules.buckets)
+    df[list(counts)] = list(counts.values())
+    return (1 + np.log((1 + n) / (1 + df)) / math.log(2 + n)).astype(np.float32)
 
 
 def signatures(docs: DataFrame, idf: np.ndarray, rules: NearRules, id_col: str, text_col: str) -> DataFrame:
