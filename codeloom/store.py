@@ -73,8 +73,13 @@ class GraphStore:
             metadata=dml.set_metadata(meta, metadata) if metadata else meta,
         )
 
-    def remove_files(self, paths: DataFrame) -> str:
-        return self.commit(nodes=dml.remove_files(self.table("nodes"), paths), edges=dml.remove_files(self.table("edges"), paths))
+    def remove_files(self, paths: DataFrame, fixed: bool = False) -> str:
+        """Nodes and edges of the files go. Their embeddings stay unless ``fixed``."""
+        nodes, vectors = self.table("nodes"), self.table("embeddings")
+        left = dml.remove_files(nodes, paths)
+        if fixed:
+            vectors = embed.remove(vectors, nodes.select("qualified_name").subtract(left.select("qualified_name")))
+        return self.commit(nodes=left, edges=dml.remove_files(self.table("edges"), paths), embeddings=vectors)
 
     def metadata(self, key: str) -> str | None:
         row = self.table("metadata").where(F.col("key") == key).first()

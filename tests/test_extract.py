@@ -150,7 +150,7 @@ def test_facade_errors(spark, tmp_path):
     assert s.config("set", key="log_level", value="warning")["value"] == "WARNING"
     assert "valid_topics" in s.help("nope") and s.help("config").startswith("# config")
     (tmp_path / "docs").mkdir()
-    (tmp_path / "docs" / "LLM-OPTIMIZED-REFERENCE.md").write_text('<section name="usage">\n hi \n</section>')
+    (tmp_path / "docs" / "REFERENCE.md").write_text('<section name="usage">\n hi \n</section>')
     assert docs_section("USAGE", [tmp_path])["content"] == "hi" and docs_section("legal", [tmp_path])["status"] == "not_found"
 
 
@@ -170,3 +170,15 @@ def test_git_sources(spark, project):
     assert src.find_repo_root(project / "lib") == project.resolve() and src.validate_root(project)
     with pytest.raises(ValueError):
         src.validate_root(project / "nowhere")
+
+
+def test_removed_files_keep_their_embeddings_unless_fixed(spark, project, tmp_path):
+    s = GraphSession(spark, str(project), f"file://{tmp_path}/g")
+    s.graph("build", full_rebuild=True)
+    s.graph("embed")
+    gone = spark.createDataFrame([("main.py",)], "file_path string")
+    s.store.remove_files(gone)
+    assert s.store.table("embeddings").count() == 2 and s.store.table("nodes").count() == 2
+    s.graph("build", full_rebuild=True)
+    s.store.remove_files(gone, fixed=True)
+    assert s.store.table("embeddings").count() == 1

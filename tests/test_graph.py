@@ -229,3 +229,9 @@ def test_backend_choice():
 def test_views(auth):
     row = lookup.node_view(auth.nodes.withColumn("language", F.lit(None).cast("string"))).first()
     assert row.language == "" and "params" not in row.asDict()
+
+
+def test_both_readings_of_tested_by(spark):
+    g = make(spark, [("Function", "a.py::f", "a.py", 1, 2, False), ("Test", "t.py::test_a", "t.py", 1, 2, True), ("Test", "t.py::test_b", "t.py", 1, 2, True)], [("TESTED_BY", "t.py::test_a", "a.py::f", "t.py", 1), ("TESTED_BY", "a.py::f", "t.py::test_b", "a.py", 1)])
+    assert names(patterns.tests_linked(g, target(spark, "a.py::f")), "test") == ["t.py::test_a"]
+    assert names(patterns.tests_linked(g, target(spark, "a.py::f"), fixed=True), "test") == ["t.py::test_a", "t.py::test_b"]
