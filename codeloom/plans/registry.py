@@ -15,6 +15,7 @@ from ..functions import detect_language, ignored, is_test_file, is_test_name, no
 from ..graph import Graph
 from ..operators import dml, embed, lookup, patterns, review, search, stats, traverse
 from ..schemas import EDGE_KEY
+from ..shared import written
 from ..sources import adapter
 from ..sources.files import DEFAULT_IGNORES
 
@@ -51,6 +52,12 @@ def _graph(spark: SparkSession, sf_dir: str) -> Graph:
     return adapter.graph(spark, sf_dir)
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph as tables in the shared folder, for queries that go over its relations several times."""
+    g = _graph(spark, sf_dir)
+    return Graph(written(g.nodes, "nodes"), written(g.edges, "edges"))
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -95,7 +102,7 @@ incoming AS (SELECT n.qualified_name AS target, e.* FROM nodes n JOIN edges e ON
 
 @query(_TO + " SELECT target, kind, count(*)::BIGINT AS n, min(source_qualified) AS first_source FROM incoming GROUP BY ALL")
 def edges_by_target(spark, sf_dir):
-    g = _graph(spark, sf_dir)
+    g = _stored(spark, sf_dir)
     return lookup.edges_to_all(g, _all_names(g)).groupBy("target", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("source_qualified").alias("first_source"))
 
 
@@ -144,7 +151,7 @@ callers AS (SELECT * FROM direct UNION ALL SELECT r.target, e.source_qualified,
 
 @query(_CALLERS + " SELECT target, source_qualified, line, caller FROM callers")
 def callers_of(spark, sf_dir):
-    g = _graph(spark, sf_dir)
+    g = _stored(spark, sf_dir)
     return patterns.callers_of(g, _all_names(g)).select("target", "source_qualified", "line", F.col("node_name").alias("caller"))
 
 
@@ -176,7 +183,7 @@ def children_of(spark, sf_dir):
 
 @query(_TO + " SELECT i.target, i.source_qualified AS test, n.kind AS node_kind, n.name AS node_name FROM incoming i JOIN nodes n ON n.qualified_name = i.source_qualified WHERE i.kind = 'TESTED_BY'")
 def tests_for(spark, sf_dir):
-    g = _graph(spark, sf_dir)
+    g = _stored(spark, sf_dir)
     return patterns.tests_linked(g, _all_names(g))
 
 
@@ -227,19 +234,19 @@ _NO_CAP = 1 << 62
 
 @query(_IMPACT + " SELECT n.qualified_name, n.kind, lv.dist FROM lv JOIN nodes n ON n.qualified_name = lv.name WHERE dist > 0")
 def impact_nodes(spark, sf_dir):
-    g = _graph(spark, sf_dir)
+    g = _stored(spark, sf_dir)
     return traverse.impacted_nodes(g, traverse.impact_radius(g, _brand_files(g), 2, _NO_CAP)).select("qualified_name", "kind", "dist")
 
 
 @query(_IMPACT + " SELECT DISTINCT n.file_path FROM lv JOIN nodes n ON n.qualified_name = lv.name WHERE dist > 0")
 def impact_files(spark, sf_dir):
-    g = _graph(spark, sf_dir)
+    g = _stored(spark, sf_dir)
     return traverse.impacted_files(g, traverse.impact_radius(g, _brand_files(g), 2, _NO_CAP))
 
 
 @query(_IMPACT + " SELECT e.* FROM edges e WHERE source_qualified IN (SELECT name FROM lv) AND target_qualified IN (SELECT name FROM lv)")
 def impact_edges(spark, sf_dir):
-    g = _graph(spark, sf_dir)
+    g = _stored(spark, sf_dir)
     return traverse.impact_edges(g, traverse.impact_radius(g, _brand_files(g), 2, _NO_CAP)).select(*EDGE_KEY)
 
 
@@ -247,7 +254,7 @@ def impact_edges(spark, sf_dir):
 SELECT n0 + n1 > 500 OR n0 + n1 + n2 > 500 AS truncated, CASE WHEN n0 + n1 > 500 THEN n1 ELSE n1 + n2 END::BIGINT AS total_impacted FROM c""")
 def impact_truncated(spark, sf_dir):
     """The default node cap: the level that passes it is kept whole, and the traversal stops there."""
-    g = _graph(spark, sf_dir)
+    g = _stored(spark, sf_dir)
     i = traverse.impact_radius(g, _brand_files(g), 2, 500)
     return spark.createDataFrame([(i.truncated, i.total_impacted)], "truncated boolean, total_impacted long")
 
@@ -256,7 +263,7 @@ def impact_truncated(spark, sf_dir):
   UNION SELECT f.file_path, e.file_path FROM (SELECT DISTINCT file_path FROM nodes) f JOIN edges e ON e.kind = 'IMPORTS_FROM' AND e.target_qualified = f.file_path)
 SELECT DISTINCT file_path, dependent FROM used WHERE file_path <> dependent""")
 def dependents(spark, sf_dir):
-    g = _graph(spark, sf_dir)
+    g = _stored(spark, sf_dir)
     return traverse.dependents(g, g.nodes.select("file_path"))
 
 
@@ -326,7 +333,7 @@ SELECT (SELECT count(*) FROM nodes WHERE file_path = '/lib/Brand#2.go' AND kind
 
 @query(_FLAGS)
 def review_guidance_counts(spark, sf_dir):
-    g = _graph(spark, sf_dir)
+    g = _stored(spark, sf_dir)
     return review.guidance_counts(g, traverse.impact_radius(g, _brand_files(g), 2, _NO_CAP))
 
 
