@@ -5,8 +5,8 @@ themselves. The rest pieces are counted by length class (a histogram of fixed si
 patterns is solved by column generation: the dual prices go to an unbounded knapsack dynamic program that proposes the
 pattern worth most. The solution is rounded down, what is left over is packed first-fit-decreasing, and the patterns
 are assigned to pieces by their rank within the class. What a class's rounding leaves free in a sequence is filled
-exactly by slices of a few whole pieces ("fill pieces"), so at most one sequence has padding, unless the input has too
-few long documents.
+exactly by slices of a few whole pieces ("fill pieces"); what the last of them has over makes sequences of power-of-two
+lengths. So no sequence has padding, unless the input has too few long documents to fill all room.
 
 Only the histogram and the patterns reach the driver; both have a size that the parameters fix. Ranks and running sums
 are taken in two steps (salted groups, then a small table of group totals), so one frequent length does not meet in one
@@ -267,8 +267,13 @@ def pack(docs: DataFrame, rules: PackRules | None = None, id_col: str = "doc_id"
     lo, hi = F.greatest("a", F.col("j") * length), F.least("b", (F.col("j") + 1) * length)
     slices = room.select("j", (lo - F.col("j") * length).alias("lo"), (hi - F.col("j") * length).alias("hi"), "sequence_id", (length - F.col("room") + lo - F.col("a")).alias("offset"))
     if free < n_used * length:
-        last = n_packed + n_whole + n_fill - n_used  # what the last fill piece has over gets a sequence of its own
-        slices = slices.unionByName(spark.createDataFrame([(n_used - 1, free - (n_used - 1) * length, length, last, 0)], "j long, lo long, hi long, sequence_id long, offset long"))
+        # What the last fill piece has over makes sequences whose lengths are powers of two, which need no padding.
+        over, at, last = [], free - (n_used - 1) * length, n_packed + n_whole + n_fill - n_used
+        for bit in reversed(range(length.bit_length())):
+            if (length - at) >> bit & 1:
+                over.append((n_used - 1, at, at + (1 << bit), last, 0))
+                at, last = at + (1 << bit), last + 1
+        slices = slices.unionByName(spark.createDataFrame(over, "j long, lo long, hi long, sequence_id long, offset long"))
     slices = slices.groupBy("j").agg(F.collect_list(F.struct("lo", "hi", "sequence_id", "offset")).alias("slices"))  # at most ``length`` a fill piece
     fill = placed.where((F.col("cls") == -1) & (F.col("sequence_id") < n_used)).select(*order, F.col("sequence_id").alias("j"))
     ids = cut.where(F.col("cls") == -1).select(*order, "doc_tokens", "ids").dropDuplicates(order)
