@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 _own_dir: str | None = None
+_materialized: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,9 +42,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _materialized.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_materialized(spark: SparkSession) -> None:
+    """Deletes every table that ``materialize`` has written in this process: results that read them must be stored first."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _materialized:
+        path = jvm.org.apache.hadoop.fs.Path(_materialized.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
