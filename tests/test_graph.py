@@ -235,3 +235,15 @@ def test_both_readings_of_tested_by(spark):
     g = make(spark, [("Function", "a.py::f", "a.py", 1, 2, False), ("Test", "t.py::test_a", "t.py", 1, 2, True), ("Test", "t.py::test_b", "t.py", 1, 2, True)], [("TESTED_BY", "t.py::test_a", "a.py::f", "t.py", 1), ("TESTED_BY", "a.py::f", "t.py::test_b", "a.py", 1)])
     assert names(patterns.tests_linked(g, target(spark, "a.py::f")), "test") == ["t.py::test_a"]
     assert names(patterns.tests_linked(g, target(spark, "a.py::f"), fixed=True), "test") == ["t.py::test_a", "t.py::test_b"]
+
+
+def test_written_tables_can_be_dropped(spark):
+    from pathlib import Path
+
+    from codeloom import shared
+
+    t = shared.written(spark.range(2).toDF("a"), "drop-me")
+    place = Path(t.inputFiles()[0].removeprefix("file://")).parent
+    assert place.exists()
+    shared.drop_written(spark)
+    assert not place.exists()
