@@ -33,6 +33,45 @@ def search_nodes(g: Graph, query: str, kind: str | None = None, limit: int | Non
     return found if limit is None else found.limit(limit)
 
 
+#: Lengths of the literal runs by which terms and names meet.
+GRAMS = (1, 2, 3, 4, 6, 8, 12)
+
+
+def _grams(s: Column, lengths: tuple[int, ...]) -> Column:
+    """Distinct substrings of ``s`` of each of ``lengths``."""
+    of = lambda n: F.when(F.length(s) >= n, F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: F.substring(s, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*[of(n) for n in lengths]))
+
+
+def search_all(g: Graph, terms: DataFrame) -> DataFrame:
+    """``search_nodes`` without a limit for a whole column ``term`` at once: (term, *node columns), each term once.
+
+    A term meets the nodes that hold one literal run of it, the one that the fewest nodes hold, and is then compared word by
+    word as ``matches`` does. Terms of wildcards alone have no such run and are compared with every node.
+    """
+    words = F.filter(F.split(F.lower("term"), r"(?U)\s+"), lambda w: w != "")
+    terms = terms.select("term").distinct().withColumn("_words", words).where(F.size("_words") > 0)
+    runs = F.filter(F.flatten(F.transform("_words", lambda w: F.split(w, "[%_]"))), lambda r: r != "")
+    largest = lambda r: F.coalesce(*[F.when(F.length(r) >= n, F.lit(n)) for n in reversed(GRAMS)])
+    of_run = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - largest(r) + 1), lambda i: F.substring(r, i, largest(r)))
+    keyed = terms.withColumn("_grams", F.array_distinct(F.flatten(F.transform(runs, of_run))))
+    term_grams = keyed.select("term", "_words", F.explode("_grams").alias("_gram"))
+
+    low, full = F.lower("name"), F.lower("qualified_name")
+    text = F.when(full.contains(low), full).otherwise(F.concat_ws("\n", low, full))
+    held = g.nodes.withColumn("_gram", F.explode(_grams(text, GRAMS))).join(term_grams.select("_gram").distinct(), "_gram", "left_semi")
+    count = held.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    least = term_grams.join(count, "_gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)), "_gram", "_words")).alias("_k"))
+    least = least.select("term", "_k._gram", "_k._words")
+
+    pattern = lambda w: F.concat(F.lit("%"), F.replace(w, F.lit("\\"), F.lit("\\\\")), F.lit("%"))
+    inside = lambda s, w: F.when(w.rlike("[%_]"), F.like(s, pattern(w))).otherwise(F.contains(s, w))
+    exact = F.forall("_words", lambda w: F.coalesce(inside(low, w), F.lit(False)) | F.coalesce(inside(full, w), F.lit(False)))
+    near = least.join(held, "_gram").where(exact)
+    rest = keyed.where(F.size("_grams") == 0).crossJoin(g.nodes).where(exact)
+    return near.select("term", *g.nodes.columns).unionByName(rest.select("term", *g.nodes.columns))
+
+
 def rank_score(query: str) -> Column:
     """0 for the exact name, 1 for a prefix, 2 otherwise; the whole query counts, ignoring case."""
     q = query.lower()

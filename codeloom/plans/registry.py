@@ -211,6 +211,21 @@ _TARGETS = "SELECT qualified_name AS target FROM nodes WHERE kind = 'File' UNION
 m AS (SELECT h.target, h.exact, count(n.name) AS named FROM h LEFT JOIN nodes n ON lower(n.name) = lower(h.target) GROUP BY h.target, h.exact)
 SELECT target, CASE WHEN exact = 1 THEN 1 ELSE named END::BIGINT AS hits, CASE WHEN exact = 1 OR named = 1 THEN 'ok' WHEN named > 1 THEN 'ambiguous' ELSE 'not_found' END AS status FROM m""")
 def resolve_target_status(spark, sf_dir):
+    """By whole names only; ``resolve_target_contained`` takes name parts too."""
+    return patterns.named_status(_graph(spark, sf_dir), _mixed_targets(spark, sf_dir))
+
+
+@query(f""", t AS ({_TARGETS}), h AS (SELECT t.target, max((q.qualified_name IS NOT NULL)::INT) AS exact FROM t LEFT JOIN nodes q ON q.qualified_name = t.target GROUP BY t.target),
+c AS (SELECT h.target, count(*) AS found FROM h JOIN nodes n ON h.exact = 0 AND len(trim(h.target)) > 0
+  AND len(list_filter(string_split_regex(lower(h.target), '\\s+'), lambda w: w <> '' AND NOT (lower(n.name) LIKE '%' || w || '%' OR lower(n.qualified_name) LIKE '%' || w || '%'))) = 0 GROUP BY h.target),
+m AS (SELECT h.target, CASE WHEN exact = 1 THEN 1 ELSE coalesce(found, 0) END::BIGINT AS hits FROM h LEFT JOIN c USING (target))
+SELECT target, hits, CASE WHEN hits = 1 THEN 'ok' WHEN hits > 1 THEN 'ambiguous' ELSE 'not_found' END AS status FROM m""")
+def resolve_target_contained(spark, sf_dir):
+    """By keyword search as a single target is resolved."""
+    return patterns.resolution_status(_stored(spark, sf_dir), _mixed_targets(spark, sf_dir))
+
+
+def _mixed_targets(spark, sf_dir) -> DataFrame:
     g, part = _graph(spark, sf_dir), _read(spark, sf_dir, "part")
     parts = [
         g.nodes.where(F.col("kind") == "File").select(F.col("qualified_name").alias("target")), part.select(F.replace("p_name", F.lit(" "), F.lit("_"))),
@@ -219,7 +234,7 @@ def resolve_target_status(spark, sf_dir):
     targets = parts[0]
     for p in parts[1:]:
         targets = targets.union(p)
-    return patterns.resolution_status(g, targets.distinct())
+    return targets.distinct()
 
 
 # ---------------------------------------------------------------- traversal
