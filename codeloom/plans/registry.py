@@ -183,10 +183,25 @@ def children_of(spark, sf_dir):
 
 @query(_TO + " SELECT i.target, i.source_qualified AS test, n.kind AS node_kind, n.name AS node_name FROM incoming i JOIN nodes n ON n.qualified_name = i.source_qualified WHERE i.kind = 'TESTED_BY'")
 def tests_for(spark, sf_dir):
+    """Linked tests only; ``tests_for_by_name_too`` has all three branches."""
     g = _stored(spark, sf_dir)
     return patterns.tests_linked(g, _all_names(g))
 
 
+@query(_TO + """, linked AS (SELECT i.target, i.source_qualified AS test, n.kind AS node_kind, n.name AS node_name FROM incoming i JOIN nodes n ON n.qualified_name = i.source_qualified WHERE i.kind = 'TESTED_BY'),
+terms AS (SELECT qualified_name AS target, unnest(['test_' || name, 'Test' || name]) AS term FROM nodes),
+split AS (SELECT DISTINCT term, list_filter(string_split_regex(lower(term), '\\s+'), lambda w: w <> '') AS words FROM terms),
+hits AS (SELECT s.term, n.*, row_number() OVER (PARTITION BY s.term ORDER BY n.name, n.qualified_name) AS r FROM split s JOIN nodes n
+  ON (lower(n.name) LIKE '%' || s.words[1] || '%' OR lower(n.qualified_name) LIKE '%' || s.words[1] || '%')
+  AND (len(s.words) = 1 OR len(list_filter(s.words, lambda w: NOT (lower(n.name) LIKE '%' || w || '%' OR lower(n.qualified_name) LIKE '%' || w || '%'))) = 0))
+SELECT * FROM linked UNION ALL SELECT t.target, h.qualified_name, h.kind, h.name FROM terms t JOIN hits h ON h.term = t.term AND h.r <= 10 AND h.is_test
+WHERE NOT EXISTS (SELECT 1 FROM linked l WHERE l.target = t.target AND l.test = h.qualified_name)""")
+def tests_for_by_name_too(spark, sf_dir):
+    """Tests that are linked or named after the node, as for a single target."""
+    g = _stored(spark, sf_dir)
+    return patterns.tests_of(g, _all_names(g))
+
+
 _BRANDS = ", targets AS (SELECT DISTINCT file_path || '::' || p_brand AS target, p_brand FROM pt)"
 
 
