@@ -32,11 +32,11 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Band:
-    """Limits of one language or script. ``entropy_shift`` raises the entropy floor (bits)."""
+    """Limits of one language or script. ``entropy_shift`` raises the entropy floor (bits); None for no floor."""
 
     chars_per_token: tuple[float, float]
     byte_share: float
-    entropy_shift: float = 0.0
+    entropy_shift: float | None = 0.0
 
 
 @dataclass(frozen=True)
@@ -53,14 +53,16 @@ class FertilityRules:
             "fr": Band((1.75, 8.0), 0.10),
         }
     )
-    #: A script is told from the majority of a text's letters.
+    #: A script is told from the majority of a text's letters. The floor was set on Latin script: Greek is written almost
+    #: letter by letter and has one for that; scripts without labelled rows have none. "none" is text without letters.
     scripts: dict[str, Band] = field(
         default_factory=lambda: {
             "latin": Band((1.2, 8.0), 0.15),
-            "cyrillic": Band((0.9, 8.0), 0.25),
-            "greek": Band((0.4, 8.0), 0.40),
-            "cjk": Band((0.25, 4.0), 0.90, -2.0),
-            "other": Band((0.2, 8.0), 1.0, -3.0),
+            "cyrillic": Band((0.9, 8.0), 0.25, None),
+            "greek": Band((0.4, 8.0), 0.40, -3.0),
+            "cjk": Band((0.25, 4.0), 0.90, None),
+            "other": Band((0.2, 8.0), 1.0, None),
+            "none": Band((0.2, 8.0), 1.0, -3.0),
         }
     )
     #: Least entropy in bits at 2**k tokens, linear in between, level outside.
@@ -77,7 +79,7 @@ class FertilityRules:
 
 
 def script_of(text: str) -> str:
-    """Script of most letters, by Unicode range."""
+    """Script of most letters, by Unicode range; "none" without letters."""
     seen: Counter[str] = Counter()
     for ch, n in Counter(text).items():
         if ch.isalpha():
@@ -92,7 +94,7 @@ def script_of(text: str) -> str:
                 seen["cjk"] += n
             else:
                 seen["other"] += n
-    return max(sorted(seen), key=seen.__getitem__) if seen else "other"
+    return max(sorted(seen), key=seen.__getitem__) if seen else "none"
 
 
 def repeated_words(words: list[str]) -> int:
@@ -155,7 +157,7 @@ def judge(rules: FertilityRules):
                 reason = "fertility"
             elif share > band.byte_share:
                 reason = "byte_fallback"
-            elif entropy < rules.floor(n) + band.entropy_shift:
+            elif band.entropy_shift is not None and entropy < rules.floor(n) + band.entropy_shift:
                 reason = "entropy"
         return len(words), chars, sum(map(text.count, SYMBOLS)), repeated_lines(text), repeats, base, reason is None, n, cpt, share, entropy, reason
 
