@@ -8,6 +8,8 @@ is large and frequent enough, with all of its tokens nested in order, is valid.
 template. The slots between template tokens hold the data. Extraction keeps the slots of the template's main region (an
 ``article`` or ``main`` node, else the node that holds most of the text) and leaves out slots of page furniture (menus,
 headers, footers, sidebars, notices, adverts, forms, comments) and slots whose text is the same on all pages of the host.
+A container that is furniture by its name only, or a form, is a layout wrapper and no furniture when it holds the host's
+main region, the page's article, its heading or nearly all of its text (``wrappers``).
 A page that does not have its host's main region is read by its own structure, as is the page of a host without others.
 
 Text is kept block by block: character references are decoded, white space inside a block becomes one space, blocks are
@@ -49,6 +51,8 @@ _FURNITURE_NAME = re.compile(
     r"(?:^|[-_\s])(?:nav|navbar|navigation|menu|menubar|breadcrumbs?|masthead|banner|topbar|header|footer|sidebar|side|aside|ads?|advert\w*|sponsor\w*|promo\w*|cookies?|notice|consent|alert|popup|modal|overlay|newsletter|subscribe|subscription|share|sharing|social|related|recommended|comments?|discussion|disqus|respond|repl(?:y|ies)|form|search|login|signup|widget|toolbar|pager|pagination|copyright|legal)(?:$|[-_\s])",
     re.IGNORECASE,
 )
+_FURNITURE_WORD = re.compile(re.search(r"\(\?:nav.*\|legal\)", _FURNITURE_NAME.pattern)[0], re.IGNORECASE)
+SOFT = frozenset(["form"])  # elements that are judged like names
 MAIN = frozenset(["article", "main"])
 _MAIN_NAME = re.compile(r"(?:^|[-_\s])(?:article|main|content|post|entry|story|body-text|text)(?:$|[-_\s])", re.IGNORECASE)
 #: An opening tag ends these open elements: HTML leaves their end tags out.
@@ -59,11 +63,83 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"'
 _NAME = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 
 
-def page_parts(page: str) -> tuple[list[str], list[tuple[str, str, bool]]]:
-    """Structural tokens and text blocks of a page: paths of opened elements, and (path, text, in page furniture)."""
+@dataclass
+class Soft:
+    """An element that is furniture by its name, or a form: perhaps a wrapper of the page's text."""
+
+    above: int  #: the next such element around it, -1 for none
+    path: str
+    exact: bool  #: one of its names is a furniture word by itself
+
+
+def wrappers(soft: list[Soft], mains: list[tuple[int, int]], blocks: list[tuple], region: str) -> list[bool]:
+    """Which of ``soft`` are layout wrappers: not furniture by themselves.
+
+    Those around the host's ``region``; else, from the outside in, one that holds
+
+    * an article or main element with more text than there is outside of all furniture (four times as much when a main
+      element has text there, or when the container's name is a furniture word by itself), or
+    * the page's only h1 and more text than is outside, or
+    * most of the page's text and four times what is outside (twenty times when a main element has text there, or for such a
+      name).
+
+    ``mains`` gives the soft and the main element around each main element, ``blocks`` are (path, text, furniture by tag, soft element
+    around, main element around, in h1).
+    """
+    open_ = [bool(region) and nested(region, x.path) for x in soft]
+    total, held = 0, [0] * len(soft)
+    main_of: list[dict[int, int]] = [{} for _ in soft]  # per soft element: text of main elements with that element around
+    heads = [False] * len(soft)
+    for _, text, hard, i, main, h1 in blocks:
+        total += len(text)
+        if hard:
+            continue
+        chain = []
+        while i >= 0:
+            chain.append(i)
+            i = soft[i].above
+        while main >= 0:
+            at = mains[main][0]
+            for c in chain:
+                if at == c or at in chain[: chain.index(c)]:
+                    main_of[c][main] = main_of[c].get(main, 0) + len(text)
+            main = mains[main][1]
+        for c in chain:
+            held[c] += len(text)
+            heads[c] = heads[c] or h1
+    while True:
+        closed: list[bool] = []
+        for x, o in zip(soft, open_, strict=True):
+            closed.append(not o or (x.above >= 0 and closed[x.above]))
+        free = free_main = 0
+        free_head = False
+        for _, text, hard, i, main, h1 in blocks:
+            if not hard and (i < 0 or not closed[i]):
+                free += len(text)
+                free_main += len(text) * (main >= 0)
+                free_head = free_head or h1
+        outer = [i for i, x in enumerate(soft) if not open_[i] and held[i] and (x.above < 0 or not closed[x.above])]
+        for i in sorted(outer, key=lambda i: -held[i]):
+            doubt = free_main > 0 or soft[i].exact
+            if (
+                max(main_of[i].values(), default=0) > free * (4 if doubt else 1)
+                or (heads[i] and not free_head and held[i] > free)
+                or (2 * held[i] > total and held[i] > free * (20 if doubt else 4))
+            ):
+                open_[i] = True
+                break
+        else:
+            return open_
+
+
+def page_parts(page: str, region: str = "") -> tuple[list[str], list[tuple[str, str, bool]]]:
+    """Structural tokens and text blocks of a page: paths of opened elements, and (path, text, in page furniture). What holds
+    the host's main ``region`` is not furniture."""
     tokens: list[str] = []
-    blocks: list[tuple[str, str, bool]] = []
-    stack: list[tuple[str, str, bool]] = [("", "", False)]  # tag, path, furniture
+    blocks: list[tuple[str, str, bool, int, int, bool]] = []
+    soft: list[Soft] = []
+    mains: list[tuple[int, int]] = []  # soft element around, main element around
+    stack: list[tuple[str, str, bool, int, int, bool]] = [("", "", False, -1, -1, False)]  # tag, path, furniture by tag, soft and main element, in h1
     text: list[str] = []
 
     def flush():
@@ -71,7 +147,7 @@ def page_parts(page: str) -> tuple[list[str], list[tuple[str, str, bool]]]:
             s = " ".join(_html.unescape("".join(text)).split())
             text.clear()
             if s:
-                blocks.append((stack[-1][1], s, stack[-1][2]))
+                blocks.append((stack[-1][1], s, *stack[-1][2:]))
 
     def pop_to(tags, stop=()):
         for i in range(len(stack) - 1, 0, -1):
@@ -110,8 +186,9 @@ def page_parts(page: str) -> tuple[list[str], list[tuple[str, str, bool]]]:
             at = end.end() if end else n
             continue
         names = {k.lower(): a or b or c for k, a, b, c in _NAME.findall(m[3])} if m[3].strip(" /") else {}
-        furniture = stack[-1][2] or tag in FURNITURE or (tag not in MAIN and tag not in ("body", "html") and any(_FURNITURE_NAME.search(v or "") for v in names.values()))
-        if tag in INLINE and (furniture == stack[-1][2]):
+        hard = tag in FURNITURE and tag not in SOFT
+        named = tag not in MAIN and tag not in ("body", "html") and any(_FURNITURE_NAME.search(v or "") for v in names.values())
+        if tag in INLINE and not (hard or named or tag in SOFT):
             continue
         flush()
         if tag in VOID:
@@ -122,14 +199,26 @@ def page_parts(page: str) -> tuple[list[str], list[tuple[str, str, bool]]]:
                 pass
         if stack[-1][0] == "p" and tag not in INLINE:
             stack.pop()
-        furniture = furniture if stack[-1][2] or tag in FURNITURE or names else False
         name = names.get("id") or names.get("class") or ""
         path = f"{stack[-1][1]}/{tag}" + (f".{'.'.join(name.split()[:2])}" if name else "")
         tokens.append(path)
         if not m[3].endswith("/"):
-            stack.append((tag, path, furniture))
+            _, _, inside, around, main, h1 = stack[-1]
+            if named or tag in SOFT:
+                soft.append(Soft(around, path, any(_FURNITURE_WORD.fullmatch(w) for v in names.values() for w in (v or "").split())))
+                around = len(soft) - 1
+            if tag in MAIN and not inside and not hard and not any(_FURNITURE_NAME.search(v or "") for v in names.values()):
+                mains.append((around, main))
+                main = len(mains) - 1
+            stack.append((tag, path, inside or hard, around, main, h1 or tag == "h1"))
     flush()
-    return tokens, blocks
+    if not any(i >= 0 and not hard for _, _, hard, i, _, _ in blocks):
+        return tokens, [(p, s, hard) for p, s, hard, *_ in blocks]
+    open_ = wrappers(soft, mains, blocks, region)
+    closed: list[bool] = []
+    for x, o in zip(soft, open_, strict=True):
+        closed.append(not o or (x.above >= 0 and closed[x.above]))
+    return tokens, [(p, s, hard or (i >= 0 and closed[i])) for p, s, hard, i, *_ in blocks]
 
 
 def host_of(url: str | None) -> str:
@@ -156,11 +245,12 @@ def text_hash(s: str) -> int:
     return zlib.crc32(b) << 31 | zlib.adler32(b) & 0x7FFFFFFF
 
 
-TOKENS = "host string, token string, pages long, sum long, vector long, chars long, furniture boolean, least long, most long"
+TOKENS = "host string, token string, pages long, sum long, vector long, chars long, furniture long, least long, most long"
 
 
 def occurrence_vectors(pages: DataFrame) -> DataFrame:
-    """Per host and token: pages that have it, occurrences, fingerprint of the vector; for slots their text sizes and hashes.
+    """Per host and token: pages that have it, occurrences, fingerprint of the vector; for slots their text sizes and hashes, and
+    whether they are furniture on most of their pages.
 
     The empty token of a host stands for its pages. Sums are taken in every task before the shuffle.
     """
@@ -171,7 +261,7 @@ def occurrence_vectors(pages: DataFrame) -> DataFrame:
         def batch():
             rows = [[h, t, *v] for (h, t), v in seen.items()]
             seen.clear()
-            types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
+            types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             signed = [[r[:4], [r[4] - (1 << 64) if r[4] >> 63 else r[4]], r[5:]] for r in rows]
             flat = [a + b + c for a, b, c in signed]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in flat], type=t) for i, t in enumerate(types)], names=["host", "token", "pages", "sum", "vector", "chars", "furniture", "least", "most"])
@@ -196,12 +286,12 @@ def occurrence_vectors(pages: DataFrame) -> DataFrame:
                 for t, (k, chars, furniture, lo, hi) in count.items():
                     v = seen.get((host, t))
                     if v is None:
-                        v = seen[host, t] = [0, 0, 0, 0, False, lo, hi]
+                        v = seen[host, t] = [0, 0, 0, 0, 0, lo, hi]
                     v[0] += 1
                     v[1] += k
                     v[2] ^= mix(key + k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
                     v[3] += chars
-                    v[4] = v[4] or furniture
+                    v[4] += furniture
                     if lo is not None:
                         v[5] = lo if v[5] is None else min(v[5], lo)
                         v[6] = hi if v[6] is None else max(v[6], hi)
@@ -212,7 +302,7 @@ def occurrence_vectors(pages: DataFrame) -> DataFrame:
 
     rows = pages.select("page_id", "url", "html").mapInArrow(run, TOKENS)
     sums = [F.sum(c).alias(c) for c in ("pages", "sum", "chars")]
-    return rows.groupBy("host", "token").agg(*sums, F.bit_xor("vector").alias("vector"), F.max("furniture").alias("furniture"), F.min("least").alias("least"), F.max("most").alias("most"))
+    return rows.groupBy("host", "token").agg(*sums, F.bit_xor("vector").alias("vector"), (2 * F.sum("furniture") > F.sum("pages")).alias("furniture"), F.min("least").alias("least"), F.max("most").alias("most"))
 
 
 def nested(path: str, parent: str) -> bool:
@@ -289,7 +379,7 @@ def templates(pages: DataFrame, rules: TemplateRules | None = None) -> DataFrame
 
 
 def main_text(page: str | None, region: str, fixed: frozenset[str]) -> str:
-    tokens, blocks = page_parts(page or "")
+    tokens, blocks = page_parts(page or "", region)
     if not region or region not in tokens:
         tag = lambda p: p.rsplit("/", 1)[-1].split(".")[0]
         own = [t for t in tokens if tag(t) in MAIN]
