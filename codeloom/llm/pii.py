@@ -39,6 +39,19 @@ _VALUE = re.compile(r"""\s{0,3}[=:]\s{0,3}["']?([A-Za-z0-9_+/.@#$!%^&*~-]{6,256}
 _NUMBER = re.compile(r"[\s:=#.]{1,6}(?:no|nr|number|num)?[\s:=#.]{0,4}([A-Z]{0,2}[0-9][0-9A-Z -]{4,40}[0-9])")
 _KEY_ID = re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+_IBAN_START = re.compile(r"(?=[A-Z]{2}[0-9]{2})")
+IBAN_WITHIN = 48  #: characters behind a cue in which an IBAN begins
+
+# Lengths of IBANs by country.
+IBAN_LENGTHS = {
+    c: n
+    for n, codes in (
+        (15, "NO"), (16, "BE"), (18, "DK FI FK FO GL NL SD"), (19, "MK SI"), (20, "AT BA EE KZ LT LU MN XK"), (21, "CH HR LI LV"), (22, "BG BH CR DE GB GE IE ME RS VA"),
+        (23, "AE GI IL IQ OM SO TL"), (24, "AD CZ ES MD PK RO SA SE SK TN VG"), (25, "LY PT ST"), (26, "IS TR"), (27, "BI DJ FR GR IT MC MR SM"),
+        (28, "AL AZ BY CY DO GT HN HU LB NI PL SV"), (29, "BR EG PS QA UA"), (30, "JO KW MU YE"), (31, "MT SC"), (32, "LC"), (33, "RU"),
+    )
+    for c in codes.split()
+}
 _DIGITS = "0123456789"
 
 SCHEMES = ("http://", "https://", "ftp://", "sftp://", "ssh://", "mailto:")
@@ -62,6 +75,26 @@ def iban_ok(text: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def iban_at(text: str, start: int) -> int | None:
+    """End of the IBAN that begins at ``start``: its country's length, else the longest whole run of characters with a valid
+    check number."""
+    m = _IBAN.match(text, start)
+    if not m:
+        return None
+    ends = [i + 1 for i in range(start, m.end()) if text[i] != " "]
+    size = IBAN_LENGTHS.get(text[start : start + 2], 0)
+    whole = [e for e in reversed(ends[14:]) if not text[e : e + 1].isalnum() or e == m.end()]
+    return next((e for e in ends[size - 1 : size] * (size > 0) + whole if iban_ok(text[start:e])), None)
+
+
+def find_iban(text: str, at: int) -> tuple[int, int] | None:
+    """The first IBAN that begins within ``IBAN_WITHIN`` characters from ``at``."""
+    for m in _IBAN_START.finditer(text, at, at + IBAN_WITHIN + 4):
+        if m.start() < at + IBAN_WITHIN and (end := iban_at(text, m.start())):
+            return m.start(), end
+    return None
+
+
 def automaton():
     import ahocorasick
 
@@ -118,8 +151,8 @@ def spans_of(text: str, anchors) -> Iterator[tuple[str, int, int]]:
             elif kind == "key":
                 if (m := _KEY_ID.match(text, at)) and not (at and text[at - 1].isalnum()):
                     found = m.span()
-            elif (m := _IBAN.search(text, last + 1, last + 48)) and iban_ok(m.group()):
-                found = m.span()
+            else:
+                found = find_iban(text, last + 1)
             if found and found[0] >= done["account"]:
                 done["account"] = found[1]
                 yield "account", *found
