@@ -35,7 +35,7 @@ _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL_REST = re.compile(r"[^\s<>\"'`{}|\\^]+")
-_VALUE = re.compile(r"""\s{0,3}[=:]\s{0,3}["']?([A-Za-z0-9_+/.@#$!%^&*~-]{6,256})["']?""")
+_VALUE = re.compile(r"""\s{0,3}[=:]\s{0,3}["']?([A-Za-z0-9_+/.@#$!%^&*~-]{6,})["']?""")
 _NUMBER = re.compile(r"[\s:=#.]{1,6}(?:no|nr|number|num)?[\s:=#.]{0,4}([A-Z]{0,2}[0-9][0-9A-Z -]{4,40}[0-9])")
 _KEY_ID = re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
