@@ -9,9 +9,11 @@ probed with all their shingles, in one pass, and the few candidates are verified
 words.
 
 Words are runs of letters and digits, lower-cased. An item of fewer words than a shingle is one shingle of all its
-words; an item without words is never found. Null or empty texts hold nothing. Repeated item rows give one result per
-item id; repeated document rows likewise. Rows that share an id share its verdict; a row without an id is never reported
-and stays. Extra columns are ignored. Either table may be empty.
+words; an item without words is never found. Null or empty texts hold nothing. An item is its id and its shingles: rows of
+one id and different texts are searched each by itself and give one result, the one of highest containment; repeated rows
+and repeated document rows give one result too. Items without an id are searched like others and reported with a null
+item_id. Documents that share an id share its verdict; documents without one are told apart by their text.
+Extra columns are ignored. Either table may be empty.
 """
 
 from __future__ import annotations
@@ -58,13 +60,30 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n_words: int = WORDS, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, n_item, n_shared, containment) of every leaked item."""
-    docs = docs.select(F.col(doc_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return _leaks(docs, items, threshold, n_words, doc_col, item_col, text_col).groupBy("doc_id", "item_id").agg(
+        *[F.max_by(c, "containment").alias(c) for c in ("n_item", "n_shared")], F.max("containment").alias("containment")
+    )
+
+
+def _text_key(doc_id: Column, text: Column) -> Column:
+    """What tells documents without an id apart; null for those with one."""
+    return F.when(doc_id.isNull(), F.xxhash64(text))
+
+
+def _same_doc(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & a["_text_key"].eqNullSafe(b["_text_key"])
+
+
+def _leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n_words: int = WORDS, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, _text_key, item_id, n_item, n_shared, containment) of every item row that leaked."""
+    docs = docs.select(F.col(doc_col).alias("doc_id"), F.col(text_col).alias("text"), _text_key(F.col(doc_col), F.col(text_col)).alias("_text_key"))
     tests = items.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text"), F.least(F.size(words(F.col(text_col))), F.lit(n_words)).alias("k")).where(F.col("k") > 0)
     own_length = F.coalesce(*[F.when(F.col("k") == k, shingle_set(F.col("text"), [k], shingle_texts)) for k in range(1, n_words + 1)])
     tests = tests.select("item_id", own_length.alias("shingles"), "k")
-    tests = materialize(tests.select("item_id", "k", "shingles", F.size("shingles").alias("n"), F.floor(F.log2(F.size("shingles"))).cast("int").alias("part")), "leak-items")
+    tests = tests.withColumn("item", F.xxhash64("item_id", F.array_sort("shingles"))).dropDuplicates(["item"])
+    tests = materialize(tests.select("item", "item_id", "k", "shingles", F.size("shingles").alias("n"), F.floor(F.log2(F.size("shingles"))).cast("int").alias("part")), "leak-items")
     head = tests.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"), F.array_sort(F.collect_set("k")).alias("lengths")).first()
-    schema = "doc_id long, item_id long, n_item long, n_shared long, containment double"
+    schema = "doc_id long, _text_key long, item_id long, n_item long, n_shared long, containment double"
     if not head["rows"]:
         return docs.sparkSession.createDataFrame([], schema)
     lengths = list(head["lengths"])
@@ -72,30 +91,31 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     # Size partitions: the sketch of every item is as long as the partition's largest item needs.
     largest = tests.groupBy("part").agg(F.max("n").alias("u"))
     sketch = tests.join(F.broadcast(largest), "part")  # one row a power of two
-    hashed = sketch.select("item_id", "k", "u", F.explode("shingles").alias("s"))
+    hashed = sketch.select("item", "k", "u", F.explode("shingles").alias("s"))
     parts = F.split("s", " ")
     by_k = F.coalesce(*[F.when(F.col("k") == k, F.xxhash64(*[F.get(parts, j) for j in range(k)])) for k in lengths])
-    hashed = hashed.select("item_id", "u", by_k.alias("h")).distinct()
-    rank = F.row_number().over(W.partitionBy("item_id").orderBy(F.xxhash64("h", F.lit(7)), "h"))
+    hashed = hashed.select("item", "u", by_k.alias("h")).distinct()
+    rank = F.row_number().over(W.partitionBy("item").orderBy(F.xxhash64("h", F.lit(7)), "h"))
     keep = F.floor(F.col("u") * (1 - threshold) + 1e-9) + 1
-    sketch = materialize(hashed.withColumn("_r", rank).where(F.col("_r") <= keep).select("h", "item_id"), "leak-sketch")
+    sketch = materialize(hashed.withColumn("_r", rank).where(F.col("_r") <= keep).select("h", "item"), "leak-sketch")
 
-    probes = docs.select("doc_id", F.explode(shingle_set(F.col("text"), lengths, shingle_hashes)).alias("h"))
-    found = probes.join(_small(sketch, sketch.count()), "h").select("doc_id", "item_id").distinct()
+    probes = docs.select("doc_id", "_text_key", F.explode(shingle_set(F.col("text"), lengths, shingle_hashes)).alias("h"))
+    found = probes.join(_small(sketch, sketch.count()), "h").select("doc_id", "_text_key", "item").distinct()
     found = materialize(found, "leak-candidates")
 
     n = found.count()
-    pairs = docs.join(_small(found, n), "doc_id").join(_small(tests.select("item_id", "shingles"), head["shingles"]), "item_id")
+    pairs = docs.join(_small(found, n), _same_doc(docs, found)).drop(found["doc_id"], found["_text_key"])
+    pairs = pairs.join(_small(tests.select("item", "item_id", "shingles"), head["shingles"]), "item")
     shared = F.size(F.array_intersect(shingle_set(F.col("text"), lengths, shingle_texts), F.col("shingles")))
-    pairs = pairs.select("doc_id", "item_id", F.size("shingles").cast("long").alias("n_item"), shared.cast("long").alias("n_shared"))
-    pairs = pairs.withColumn("containment", F.col("n_shared") / F.col("n_item")).where(F.col("n_shared") >= threshold * F.col("n_item") - 1e-9)
-    return pairs.groupBy("doc_id", "item_id").agg(*[F.max_by(c, "containment").alias(c) for c in ("n_item", "n_shared")], F.max("containment").alias("containment"))
+    pairs = pairs.select("doc_id", "_text_key", "item_id", F.size("shingles").cast("long").alias("n_item"), shared.cast("long").alias("n_shared"))
+    return pairs.withColumn("containment", F.col("n_shared") / F.col("n_item")).where(F.col("n_shared") >= threshold * F.col("n_item") - 1e-9)
 
 
 def drop_leaked(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", **rules) -> DataFrame:
     """``docs`` without those that hold a test item."""
-    leaked = find_leaks(docs, items, doc_col=doc_col, **rules).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, docs[doc_col] == leaked["_leaked"], "left_anti")
+    leaked = _leaks(docs, items, doc_col=doc_col, **rules).select(F.col("doc_id").alias("_leaked"), F.col("_text_key").alias("_leaked_text")).distinct()
+    text_key = _text_key(docs[doc_col], docs[rules.get("text_col", "text")])
+    return docs.join(leaked, docs[doc_col].eqNullSafe(leaked["_leaked"]) & text_key.eqNullSafe(leaked["_leaked_text"]), "left_anti")
 
 
 ORACLE = r"""
