@@ -28,6 +28,7 @@ def full_build(store: GraphStore, root: str | Path) -> dict:
     from .operators.dml import set_metadata
 
     store.commit(nodes=graph.nodes, edges=graph.edges, metadata=set_metadata(old, _stamp("full")))
+    store.vacuum()
     n = counts.first()
     return {"files_parsed": n["files_parsed"], "total_nodes": n["total_nodes"], "total_edges": n["total_edges"], "errors": [r.asDict() for r in errors.collect()]}
 
@@ -63,5 +64,6 @@ def incremental_update(store: GraphStore, root: str | Path, base: str = "HEAD~1"
         errors = [r.asDict() for r in bad.collect()]
         replaced = gone.unionByName(stale.select(F.col("path").alias("file_path")))
     store.replace_files(new, replaced, _stamp("incremental"))
+    store.vacuum()
     n = counts.first() if counts is not None else {"total_nodes": 0, "total_edges": 0}
     return {"files_updated": len(everything), "total_nodes": n["total_nodes"], "total_edges": n["total_edges"], "changed_files": list(changed), "dependent_files": sorted(dependent), "errors": errors}
