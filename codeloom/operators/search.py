@@ -29,8 +29,7 @@ def search_nodes(g: Graph, query: str, kind: str | None = None, limit: int | Non
     found = g.nodes.where(F.lit(False) if where is None else where)
     if kind:
         found = found.where(F.col("kind") == kind)
-    found = found.orderBy("name", "qualified_name")
-    return found if limit is None else found.limit(limit)
+    return found if limit is None else found.orderBy("name", "qualified_name").limit(limit)
 
 
 #: Lengths of the literal runs by which terms and names meet.
@@ -107,9 +106,25 @@ def large_functions(g: Graph, root: str, min_lines: int = 50, kind: str | None =
     return nodes_by_size(g, min_lines, None, kind, path, limit).withColumn("relative_path", relative)
 
 
+#: Lines of a block by which positions and nodes meet.
+LINE_BLOCK = 64
+
+
 def innermost_at(g: Graph, positions: DataFrame) -> DataFrame:
-    """For each (file_path, line) the smallest node around it: (file_path, line, *node). An equi-join on the file bounds the range test."""
-    at = positions.select(F.col("file_path").alias("_f"), F.col("line").alias("at_line"))
-    found = at.join(g.nodes, (F.col("_f") == F.col("file_path")) & (F.col("line_start") <= F.col("at_line")) & (F.col("line_end") >= F.col("at_line")))
-    best = F.min_by(F.struct("kind", "name", "qualified_name", "line_start", "line_end"), F.struct(F.col("line_end") - F.col("line_start"), "qualified_name"))
-    return found.groupBy("file_path", "at_line").agg(best.alias("n")).select("file_path", F.col("at_line").alias("line"), "n.*")
+    """For each (file_path, line) the smallest node around it: (file_path, line, *node).
+
+    Positions meet nodes by file and block of lines. A node stands in the blocks in which it begins or ends; of those that reach over a
+    whole block only the smallest can be innermost, so one goes for all of them. No file meets in one task.
+    """
+    size, block = F.col("line_end") - F.col("line_start"), lambda c: F.floor(F.col(c) / LINE_BLOCK)
+    fields = ["kind", "name", "qualified_name", "line_start", "line_end"]
+    n = g.nodes.where(F.col("line_start").isNotNull() & F.col("line_end").isNotNull() & (F.col("line_start") <= F.col("line_end")))
+    n = n.select(F.col("file_path").alias("_f"), F.struct(size.alias("size"), F.col("qualified_name").alias("by"), F.struct(*fields).alias("n")).alias("node"), block("line_start").alias("_a"), block("line_end").alias("_b"))
+    edge = n.select("_f", "node", F.explode(F.array_distinct(F.array("_a", "_b"))).alias("_block"))
+    over = n.where(F.col("_b") - F.col("_a") > 1).select("_f", "node", F.explode(F.sequence(F.col("_a") + 1, F.col("_b") - 1)).alias("_block"))
+    over = over.groupBy("_f", "_block").agg(F.min("node").alias("node"))
+    at = positions.select(F.col("file_path").alias("_p"), F.col("line").alias("at_line"), block("line").alias("_at")).distinct()
+    found = at.join(edge.unionByName(over.select("_f", "node", "_block")), (F.col("_p") == F.col("_f")) & (F.col("_at") == F.col("_block")))
+    found = found.where((F.col("node.n.line_start") <= F.col("at_line")) & (F.col("node.n.line_end") >= F.col("at_line")))
+    best = found.groupBy("_p", "at_line").agg(F.min("node").alias("node"))
+    return best.select(F.col("_p").alias("file_path"), F.col("at_line").alias("line"), "node.n.*")
