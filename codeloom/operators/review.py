@@ -72,15 +72,17 @@ def guidance_counts(g: Graph, impact: Impact) -> DataFrame:
     return out
 
 
+#: From so many on, advice is given.
+WIDE_NODES, WIDE_FILES = 21, 4
+
+
 def guidance_text(counts: dict, first_untested: list[str]) -> str:
-    """Advice in words. Wide: over 20 nodes; across files: over 3."""
-    lines = []
-    if counts["untested_functions"]:
-        lines.append(f"- {counts['untested_functions']} changed function(s) lack test coverage: " + ", ".join(first_untested))
-    if counts["impacted_nodes"] > 20:
-        lines.append(f"- Wide blast radius: {counts['impacted_nodes']} nodes impacted. Review callers and dependents carefully.")
-    if counts["inheritance_edges"]:
-        lines.append(f"- {counts['inheritance_edges']} inheritance/implementation relationship(s) affected. Check for Liskov substitution violations.")
-    if counts["impacted_files"] > 3:
-        lines.append(f"- Changes impact {counts['impacted_files']} other files. Consider splitting into smaller PRs.")
-    return "\n".join(lines or ["- Changes appear well-contained with minimal blast radius."])
+    """Advice in words, one line for each of ``guidance_counts`` that calls for some."""
+    n_files, n_nodes, n_types, n_bare = (counts[k] for k in ("impacted_files", "impacted_nodes", "inheritance_edges", "untested_functions"))
+    advice = {
+        f"{n_bare} of the changed functions have no linked test, among them {', '.join(first_untested)}.": n_bare > 0,
+        f"Subtypes: {n_types} inheritance or implementation links touch the change; see that overriding code still keeps its contract.": n_types > 0,
+        f"Reach: {n_nodes} further nodes depend on the change. Read their call sites.": n_nodes >= WIDE_NODES,
+        f"Spread: {n_files} other files are reached, so smaller steps may be easier to review.": n_files >= WIDE_FILES,
+    }
+    return "\n".join(f"* {line}" for line, applies in advice.items() if applies) or "* Nothing stands out: the change stays local and is covered."
