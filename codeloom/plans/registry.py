@@ -11,12 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import detect_language, ignored, is_test_file, is_test_name, node_text, sanitize_name
+from ..functions import binary_content, detect_language, ignored, is_test_file, is_test_name, node_text, sanitize_name
 from ..graph import Graph
 from ..operators import dml, embed, lookup, patterns, review, search, stats, traverse
 from ..schemas import EDGE_KEY
 from ..shared import written
-from ..sources import adapter
+from ..sources import adapter, files
 from ..sources.files import DEFAULT_IGNORES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -155,6 +155,50 @@ def callers_of(spark, sf_dir):
     return patterns.callers_of(g, _all_names(g)).select("target", "source_qualified", "line", F.col("node_name").alias("caller"))
 
 
+_PLACE = "/repo/AFRICA/KENYA.py"
+
+
+@query(f"SELECT * FROM edges WHERE source_qualified = '{_PLACE}'")
+def edges_from_one(spark, sf_dir):
+    return lookup.edges_from(_graph(spark, sf_dir), _PLACE)
+
+
+@query(f"SELECT * FROM nodes WHERE file_path = '{_PLACE}'")
+def nodes_in_file(spark, sf_dir):
+    return lookup.nodes_in_file(_graph(spark, sf_dir), _PLACE)
+
+
+@query("SELECT * FROM nodes WHERE qualified_name = '/repo/AFRICA/KENYA.py' OR qualified_name LIKE '%::Supplier#000000001'")
+def node_by_name(spark, sf_dir):
+    """A file and a class by their qualified names."""
+    g = _graph(spark, sf_dir)
+    supplier = g.nodes.where(F.col("name") == "Supplier#000000001").select("qualified_name").first()
+    return lookup.node(g, _PLACE).unionByName(lookup.node(g, supplier[0] if supplier else ""))
+
+
+@query("SELECT * FROM edges WHERE target_qualified = 'Brand#12'")
+def edges_to_bare_name(spark, sf_dir):
+    """No edge ends at the brand's full name, so those to its bare name are found."""
+    return lookup.edges_to(_stored(spark, sf_dir), "/lib/Brand#12.go::Brand#12")
+
+
+@query("SELECT * FROM edges WHERE kind = 'CALLS' AND target_qualified IN (SELECT min(part_name) FROM pt)")
+def calls_of_bare_name(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    name = _read(spark, sf_dir, "part").agg(F.min(F.replace("p_name", F.lit(" "), F.lit("_")))).first()[0]
+    return lookup.edges_by_target_name(g, name)
+
+
+@query("""SELECT e.* FROM edges e WHERE source_qualified IN (SELECT source_qualified FROM edges WHERE kind = 'TESTED_BY') AND target_qualified IN (SELECT source_qualified FROM edges WHERE kind = 'TESTED_BY')
+UNION ALL SELECT e.* FROM edges e WHERE source_qualified IN (SELECT qualified_name FROM nodes WHERE kind = 'File') AND target_qualified IN (SELECT qualified_name FROM nodes WHERE kind = 'File')""")
+def subgraph_edges(spark, sf_dir):
+    """Edges among the sources of TESTED_BY edges, and among files."""
+    g = _stored(spark, sf_dir)
+    tested = g.edges.where(F.col("kind") == "TESTED_BY").select(F.col("source_qualified").alias("qualified_name"))
+    among = lookup.subgraph(g, tested).edges.unionByName(lookup.subgraph(g, g.nodes.where(F.col("kind") == "File").select("qualified_name")).edges)
+    return among.select(*EDGE_KEY)
+
+
 @query("SELECT e.source_qualified AS target, e.target_qualified AS callee, e.line, n.kind AS callee_kind, n.file_path AS callee_file FROM edges e LEFT JOIN nodes n ON n.qualified_name = e.target_qualified WHERE e.kind = 'CALLS' AND e.source_qualified IN (SELECT qualified_name FROM nodes)")
 def callees_of(spark, sf_dir):
     g = _graph(spark, sf_dir)
@@ -182,8 +226,8 @@ def children_of(spark, sf_dir):
 
 
 @query(_TO + " SELECT i.target, i.source_qualified AS test, n.kind AS node_kind, n.name AS node_name FROM incoming i JOIN nodes n ON n.qualified_name = i.source_qualified WHERE i.kind = 'TESTED_BY'")
-def tests_for(spark, sf_dir):
-    """Linked tests only; ``tests_for_by_name_too`` has all three branches."""
+def tests_linked(spark, sf_dir):
+    """The first branch of ``tests_for`` alone."""
     g = _stored(spark, sf_dir)
     return patterns.tests_linked(g, _all_names(g))
 
@@ -196,7 +240,7 @@ hits AS (SELECT s.term, n.*, row_number() OVER (PARTITION BY s.term ORDER BY n.n
   AND (len(s.words) = 1 OR len(list_filter(s.words, lambda w: NOT (lower(n.name) LIKE '%' || w || '%' OR lower(n.qualified_name) LIKE '%' || w || '%'))) = 0))
 SELECT * FROM linked UNION ALL SELECT t.target, h.qualified_name, h.kind, h.name FROM terms t JOIN hits h ON h.term = t.term AND h.r <= 10 AND h.is_test
 WHERE NOT EXISTS (SELECT 1 FROM linked l WHERE l.target = t.target AND l.test = h.qualified_name)""")
-def tests_for_by_name_too(spark, sf_dir):
+def tests_for(spark, sf_dir):
     """Tests that are linked or named after the node, as for a single target."""
     g = _stored(spark, sf_dir)
     return patterns.tests_of(g, _all_names(g))
@@ -213,6 +257,18 @@ def inheritors_of(spark, sf_dir):
     return patterns.inheritors_of(g, brands).select("target", F.col("source_qualified").alias("inheritor"), "node_kind")
 
 
+@query(_TO + """, targets AS (SELECT qualified_name AS target FROM nodes WHERE kind IN ('Class', 'Function') UNION SELECT file_path || '::' || p_brand FROM pt),
+kinds AS (SELECT * FROM edges WHERE kind IN ('INHERITS', 'IMPLEMENTS')), hit AS (SELECT t.target, k.* FROM targets t JOIN kinds k ON k.target_qualified = t.target),
+bare AS (SELECT t.target, k.* FROM targets t JOIN kinds k ON k.target_qualified = regexp_extract(t.target, '(?s)^.*::(.*)$', 1) WHERE contains(t.target, '::') AND t.target NOT IN (SELECT target_qualified FROM kinds))
+SELECT x.target, x.source_qualified AS inheritor, n.kind AS node_kind FROM (SELECT * FROM hit UNION ALL SELECT * FROM bare) x LEFT JOIN nodes n ON n.qualified_name = x.source_qualified""")
+def inheritors_of_kind_first(spark, sf_dir):
+    """``fixed``: of every class, function and brand, by inheritance edges alone before the bare name is tried."""
+    g = _graph(spark, sf_dir)
+    brands = _read(spark, sf_dir, "part").select(F.concat(F.lit("/lib/"), "p_brand", F.lit(".go::"), "p_brand").alias("target"))
+    targets = g.nodes.where(F.col("kind").isin("Class", "Function")).select(F.col("qualified_name").alias("target")).union(brands).distinct()
+    return patterns.inheritors_of(g, targets, fixed=True).select("target", F.col("source_qualified").alias("inheritor"), "node_kind")
+
+
 @query("SELECT file_path AS target, kind, name, qualified_name, line_start, line_end, is_test FROM nodes")
 def file_summary(spark, sf_dir):
     g = _graph(spark, sf_dir)
@@ -222,21 +278,13 @@ def file_summary(spark, sf_dir):
 _TARGETS = "SELECT qualified_name AS target FROM nodes WHERE kind = 'File' UNION SELECT replace(p_name, ' ', '_') FROM part UNION SELECT p_brand FROM part UNION SELECT c_name FROM customer"
 
 
-@query(f""", t AS ({_TARGETS}), h AS (SELECT t.target, max((q.qualified_name IS NOT NULL)::INT) AS exact FROM t LEFT JOIN nodes q ON q.qualified_name = t.target GROUP BY t.target),
-m AS (SELECT h.target, h.exact, count(n.name) AS named FROM h LEFT JOIN nodes n ON lower(n.name) = lower(h.target) GROUP BY h.target, h.exact)
-SELECT target, CASE WHEN exact = 1 THEN 1 ELSE named END::BIGINT AS hits, CASE WHEN exact = 1 OR named = 1 THEN 'ok' WHEN named > 1 THEN 'ambiguous' ELSE 'not_found' END AS status FROM m""")
-def resolve_target_status(spark, sf_dir):
-    """By whole names only; ``resolve_target_contained`` takes name parts too."""
-    return patterns.named_status(_graph(spark, sf_dir), _mixed_targets(spark, sf_dir))
-
-
 @query(f""", t AS ({_TARGETS}), h AS (SELECT t.target, max((q.qualified_name IS NOT NULL)::INT) AS exact FROM t LEFT JOIN nodes q ON q.qualified_name = t.target GROUP BY t.target),
 c AS (SELECT h.target, count(*) AS found FROM h JOIN nodes n ON h.exact = 0 AND len(trim(h.target)) > 0
   AND len(list_filter(string_split_regex(lower(h.target), '\\s+'), lambda w: w <> '' AND NOT (lower(n.name) LIKE '%' || w || '%' OR lower(n.qualified_name) LIKE '%' || w || '%'))) = 0 GROUP BY h.target),
 m AS (SELECT h.target, CASE WHEN exact = 1 THEN 1 ELSE coalesce(found, 0) END::BIGINT AS hits FROM h LEFT JOIN c USING (target))
 SELECT target, hits, CASE WHEN hits = 1 THEN 'ok' WHEN hits > 1 THEN 'ambiguous' ELSE 'not_found' END AS status FROM m""")
-def resolve_target_contained(spark, sf_dir):
-    """By keyword search as a single target is resolved."""
+def resolve_target_status(spark, sf_dir):
+    """By keyword search as a single target is resolved: every word in the name or the qualified name."""
     return patterns.resolution_status(_stored(spark, sf_dir), _mixed_targets(spark, sf_dir))
 
 
@@ -318,6 +366,20 @@ def search_ranked(spark, sf_dir):
     return search.search_ranked(_graph(spark, sf_dir), "order_1").select("name", "qualified_name", "score")
 
 
+@query("""SELECT name, qualified_name, 2 - starts_with(lower(name), '1')::INT AS score FROM (SELECT * FROM nodes WHERE lower(name) LIKE '%1%' OR lower(qualified_name) LIKE '%1%' ORDER BY name, qualified_name LIMIT 40)
+WHERE kind = 'File' ORDER BY score, name, qualified_name LIMIT 20""")
+def search_ranked_kind(spark, sf_dir):
+    """The kind is looked at after the cut, so hits of that kind are lost."""
+    return search.search_ranked(_graph(spark, sf_dir), "1", kind="File").select("name", "qualified_name", "score")
+
+
+@query("""SELECT name, qualified_name, CASE WHEN lower(name) = '1' THEN 0 ELSE 2 - starts_with(lower(name), '1')::INT END AS score FROM (SELECT * FROM nodes WHERE (lower(name) LIKE '%1%' OR lower(qualified_name) LIKE '%1%') AND kind = 'Class' ORDER BY name, qualified_name LIMIT 40)
+ORDER BY score, name, qualified_name LIMIT 20""")
+def search_ranked_kind_first(spark, sf_dir):
+    """``fixed``: of that kind alone."""
+    return search.search_ranked(_graph(spark, sf_dir), "1", kind="Class", fixed=True).select("name", "qualified_name", "score")
+
+
 @query("SELECT kind, qualified_name, line_end - line_start + 1 AS line_count, CASE WHEN starts_with(file_path, '/repo/') THEN substr(file_path, 7) ELSE file_path END AS relative_path FROM nodes WHERE line_end - line_start + 1 >= 50 ORDER BY line_count DESC, qualified_name LIMIT 50")
 def large_functions(spark, sf_dir):
     return search.large_functions(_graph(spark, sf_dir), ROOT).select("kind", "qualified_name", "line_count", "relative_path")
@@ -381,7 +443,21 @@ def line_ranges_merged(spark, sf_dir):
     return review.merged_ranges(_graph(spark, sf_dir).nodes, fixed=True)
 
 
-_DOC_RANGES = "SELECT doc_id::VARCHAR AS file_path, 1 + n_chars % 7 AS line_start, 2 + n_chars % 7 AS line_end FROM documents UNION ALL SELECT doc_id::VARCHAR, 9, 9 FROM documents"
+@query(""", r AS (SELECT DISTINCT file_path, greatest(0, line_start - 3) AS lo, line_end + 2 AS hi FROM nodes),
+b AS (SELECT *, max(hi) OVER (PARTITION BY file_path ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM r),
+i AS (SELECT *, sum(CASE WHEN lo <= p + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY file_path ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM b)
+SELECT file_path, min(lo) AS lo, max(hi) AS hi FROM i GROUP BY file_path, g""")
+def line_ranges_with_files(spark, sf_dir):
+    """As review context takes them: a File node makes its file one range."""
+    return review.merged_ranges(_graph(spark, sf_dir).nodes)
+
+
+@query("SELECT doc_id::VARCHAR AS file_path, array_to_string(list_transform(range(0, least(len(l), 50)), lambda x: (x + 1)::VARCHAR || ': ' || l[x + 1]), chr(10)) AS snippet FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)", graph=False)
+def first_lines_snippet(spark, sf_dir):
+    """Files without any node: their first lines."""
+    d = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_path"), "text")
+    none = spark.createDataFrame([], "file_path string, lo int, hi int")
+    return review.snippets(d, none)
 
 
 @query("""WITH f AS (SELECT doc_id::VARCHAR AS file_path, string_split(text, chr(10)) AS l, 1 + n_chars % 7 AS s FROM documents),
@@ -412,6 +488,34 @@ def cosine_topk(spark, sf_dir):
     return embed.top_k(e, q, 20, "vec_id", "embedding").select("vec_id", F.round("similarity", 4).alias("similarity"))
 
 
+@query("""SELECT vec_id, CASE WHEN vec_id % 3 = 2 THEN round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4) ELSE 0.0 END AS similarity
+FROM embeddings e, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) q""", graph=False)
+def cosine_of_odd_vectors(spark, sf_dir):
+    """A third of the vectors without length, a third one number short: their similarity is zero."""
+    e = _read(spark, sf_dir, "embeddings")
+    q = e.orderBy("vec_id").limit(1).collect()[0]["embedding"]
+    third = F.col("vec_id") % 3
+    odd = F.when(third == 0, F.transform("embedding", lambda x: (x * 0).cast("float"))).when(third == 1, F.slice("embedding", 1, F.size("embedding") - 1)).otherwise(F.col("embedding"))
+    return embed.top_k(e.withColumn("embedding", odd), q, None, "vec_id", "embedding").select("vec_id", F.round("similarity", 4).alias("similarity"))
+
+
+@query(""", v AS (SELECT c.customer_q AS qualified_name, e.embedding FROM embeddings e JOIN cu c ON c.c_custkey = e.vec_id WHERE vec_id % 2 = 0
+  UNION ALL SELECT p.part_q, e.embedding FROM embeddings e JOIN pt p ON p.p_partkey = e.vec_id WHERE vec_id % 2 = 1 UNION ALL SELECT 'gone', embedding FROM embeddings WHERE vec_id = 0),
+s AS (SELECT qualified_name, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS x FROM v, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) q ORDER BY x DESC, qualified_name LIMIT 30)
+SELECT n.kind, n.name, s.qualified_name, round(s.x, 4) AS similarity_score FROM s JOIN nodes n ON n.qualified_name = s.qualified_name WHERE n.kind = 'Class' ORDER BY s.x DESC, s.qualified_name LIMIT 15""")
+def semantic_search(spark, sf_dir):
+    """Classes near a vector, among classes, functions and a name that is no node. The kind is looked at after the cut."""
+    g, e = _graph(spark, sf_dir), _read(spark, sf_dir, "embeddings")
+    q = e.orderBy("vec_id").limit(1).collect()[0]["embedding"]
+    customers = g.nodes.where((F.col("kind") == "Class") & F.col("name").startswith("Customer")).select("qualified_name", F.substring("name", 10, 9).cast("long").alias("k"))
+    parts = g.nodes.where(F.col("file_path").startswith("/lib/")).select("qualified_name", F.regexp_extract("parent_name", r"(\d+)$", 1).cast("long").alias("k"))
+    even = e.where(F.col("vec_id") % 2 == 0).join(customers, F.col("vec_id") == F.col("k"))
+    odd = e.where(F.col("vec_id") % 2 == 1).join(parts, F.col("vec_id") == F.col("k"))
+    gone = e.where(F.col("vec_id") == 0).select(F.lit("gone").alias("qualified_name"), "embedding")
+    vectors = even.select("qualified_name", "embedding").union(odd.select("qualified_name", "embedding")).union(gone).withColumnRenamed("embedding", "vector")
+    return embed.semantic_search(g, vectors, q, "Class", 15).select("kind", "name", "qualified_name", "similarity_score")
+
+
 @query("""SELECT label, vec_id, similarity, rank FROM (SELECT label, vec_id, similarity, row_number() OVER (PARTITION BY label ORDER BY similarity DESC, vec_id)::INT AS rank FROM
 (SELECT q.label, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4) AS similarity FROM embeddings e, (SELECT label, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY label) q)) WHERE rank <= 5""", graph=False)
 def cosine_topk_by_kind(spark, sf_dir):
@@ -435,12 +539,25 @@ def embed_pending(spark, sf_dir):
     return embed.pending(n, done, "hashing").select("qualified_name", "text_hash")
 
 
-@query(None)
+_HASHED = """, f AS (SELECT DISTINCT file_path FROM nodes WHERE kind = 'File'), t AS (SELECT qualified_name, concat_ws(' ', nullif(name, ''), lower(kind), 'in ' || nullif(parent_name, ''), nullif(language, '')) AS text
+  FROM nodes SEMI JOIN f USING (file_path) WHERE kind <> 'File'),
+parts AS (SELECT qualified_name, unnest(list_concat(list_filter(string_split(lower(text), ' '), lambda w: w <> ''), list_transform(range(1, greatest(len(text) - 1, 1)), lambda i: substr(lower(text), i, 3)))) AS part FROM t),
+c AS (SELECT qualified_name, (md5_number_lower(part) % 64)::INT AS i, sum(CASE WHEN md5_number_lower(part) >= 9223372036854775808 THEN 1 ELSE -1 END) AS x FROM parts GROUP BY ALL),
+v AS (SELECT t.qualified_name, list_transform(range(64), lambda k: coalesce(m[k], 0)) AS x FROM t JOIN (SELECT qualified_name, map(list(i), list(x)) AS m FROM c GROUP BY qualified_name) USING (qualified_name)),
+s AS (SELECT qualified_name, list_transform(x, lambda z: round(10000 * z / greatest(list_max(list_transform(x, lambda y: abs(y))), 1))::BIGINT) AS x FROM v)
+SELECT s.qualified_name, sha256(t.text) AS text_hash, 'hashing' AS provider, md5(array_to_string(s.x, ',')) AS digest FROM s JOIN t USING (qualified_name)"""
+
+
+@query(_HASHED)
 def embed_all_nodes(spark, sf_dir):
-    """Vectors of all nodes of files that have a File node, by the hashing backend; digests stand for the vectors."""
+    """Vectors of all nodes of files that have a File node, by the hashing backend. The digest is that of every vector's numbers as
+    ten-thousandths of its greatest."""
     g = _graph(spark, sf_dir)
     made = embed.embed(embed.texts_of(embed.embeddable(g)), embed.HashingBackend(64))
-    return made.select("qualified_name", "text_hash", "provider", F.size("vector").alias("dimensions"))
+    most = F.array_max(F.transform("vector", lambda x: F.abs(x.cast("double"))))
+    parts = F.transform("vector", lambda x: F.round(10_000 * x.cast("double") / F.col("_most")).cast("long").cast("string"))
+    made = made.withColumn("_most", F.when(most > 0, most).otherwise(1.0))
+    return made.select("qualified_name", "text_hash", "provider", F.md5(F.array_join(parts, ",")).alias("digest"))
 
 
 # ---------------------------------------------------------------- writes and incremental update
@@ -459,6 +576,15 @@ def apply_change_log(spark, sf_dir):
     return dml.apply_changes(e, "user_id", ["ts", "event_id"], F.col("event_type") == "error").select("user_id", "event_id")
 
 
+@query("""SELECT *, 'old' AS state FROM edges WHERE kind = 'CALLS' AND line < 4 AND (source_qualified, target_qualified, file_path, line) NOT IN (SELECT (source_qualified, target_qualified, file_path, line) FROM raw_edges WHERE kind = 'CALLS' AND line IN (2, 5))
+UNION ALL SELECT DISTINCT *, 'new' FROM raw_edges WHERE kind = 'CALLS' AND line IN (2, 5)""")
+def upsert_edges(spark, sf_dir):
+    """Raw calls, some of them equal, over a table that has a part of them already: equal keys leave one row, the new one."""
+    calls = adapter.raw_edges(spark, sf_dir).where(F.col("kind") == "CALLS")
+    old = calls.where("line < 4").dropDuplicates(EDGE_KEY).withColumn("state", F.lit("old"))
+    return dml.upsert_edges(old, calls.where("line IN (2, 5)").withColumn("state", F.lit("new")).withColumn("seq", F.lit(1)))
+
+
 @query("SELECT * FROM edges WHERE NOT starts_with(file_path, '/repo/ASIA/')")
 def remove_file_data(spark, sf_dir):
     g = _graph(spark, sf_dir)
@@ -503,12 +629,6 @@ def sanitize_names(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", sanitize_name(F.col("text")).alias("clean"))
 
 
-@query(r"""SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages""", graph=False)
-def page_links(spark, sf_dir):
-    p = _read(spark, sf_dir, "pages")
-    return p.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), F.lit(1))).alias("href"))
-
-
 _PATHS = "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'node_modules/' WHEN 1 THEN 'src/node_modules/' WHEN 2 THEN 'build/' WHEN 3 THEN 'tests/' ELSE 'src/' END || replace(p_name, ' ', '_') || CASE p_size % 7 WHEN 0 THEN '.py' WHEN 1 THEN '.min.js' WHEN 2 THEN '.lock' WHEN 3 THEN '.TS' WHEN 4 THEN '_test.go' WHEN 5 THEN '' ELSE '.rs' END AS path FROM part"
 
 
@@ -526,6 +646,25 @@ def ignore_filter(spark, sf_dir):
     return _paths(spark, sf_dir).withColumn("ignored", ignored(F.col("path"), DEFAULT_IGNORES))
 
 
+@query(f"SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'new/' || path ELSE path END AS path FROM ({_PATHS}) WHERE p_partkey % 11 > 0", graph=False)
+def status_paths(spark, sf_dir):
+    """Porcelain status lines: changed paths, renames and lines too short to be one."""
+    line = F.when(F.col("p_partkey") % 11 == 0, "?? ").when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("R  "), "path", F.lit(" -> new/"), "path")).otherwise(F.concat(F.lit(" M "), "path"))
+    lines = _paths(spark, sf_dir).withColumn("value", line)
+    # The key rides behind the path, which status lines do not have.
+    tagged = files.status_paths(lines.select(F.concat("value", F.when(F.length("value") > 3, F.concat(F.lit("#"), F.col("p_partkey").cast("string"))).otherwise("")).alias("value")))
+    return tagged.select(F.substring_index("path", "#", -1).cast("long").alias("p_partkey"), F.regexp_replace("path", r"#\d+$", "").alias("path"))
+
+
+@query("SELECT doc_id, doc_id % 3 = 0 OR text IS NULL AS is_binary FROM documents", graph=False)
+def binary_content_check(spark, sf_dir):
+    """A NUL at the first byte, at the last one that is looked at, or behind it."""
+    d = _read(spark, sf_dir, "documents")
+    whole = F.rpad("text", 9000, "x")
+    text = F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit("\0"), "text")).when(F.col("doc_id") % 3 == 0, F.concat(F.lit("x" * 8191 + "\0"), "text")).when(F.col("doc_id") % 3 == 1, F.concat(whole, F.lit("\0")))
+    return d.select("doc_id", binary_content(F.encode(F.coalesce(text, "text"), "UTF-8")).alias("is_binary"))
+
+
 @query(f"SELECT p_partkey, CASE lower(regexp_extract(path, '[^/](\\.[^./]+)$', 1)) WHEN '.py' THEN 'python' WHEN '.js' THEN 'javascript' WHEN '.ts' THEN 'typescript' WHEN '.go' THEN 'go' WHEN '.rs' THEN 'rust' END AS language FROM ({_PATHS})", graph=False)
 def language_of_path(spark, sf_dir):
     return _paths(spark, sf_dir).select("p_partkey", detect_language(F.col("path")).alias("language"))

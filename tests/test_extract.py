@@ -3,6 +3,7 @@
 import subprocess
 
 import pytest
+from pyspark.sql import functions as F
 
 from codeloom.extract.operator import module_candidates, parse
 from codeloom.session import GraphSession, docs_section
@@ -95,6 +96,7 @@ def project(tmp_path):
     root = tmp_path / "p"
     root.mkdir()
     (root / "lib").mkdir()
+    (root / ".codeloom").mkdir()
     (root / "lib" / "util.py").write_text("def helper(x):\n    return x\n")
     (root / "main.py").write_text("from lib.util import helper\n\ndef go():\n    return helper(1)\n")
     (root / "blob.py").write_bytes(b"\0\1")
@@ -112,6 +114,14 @@ def test_build_query_update(spark, project, tmp_path):
     assert s.config("status")["graph_path"] is None
     built = s.graph("build", full_rebuild=True)
     assert (built["files_parsed"], built["total_nodes"], built["errors"]) == (2, 4, [])
+    q = s.graph("query", pattern="imports_of", target="main.py")
+    assert [r["import_target"] for r in q["results"]] == [e["target"] for e in q["edges"]] == ["lib.util"]
+    s.store.commit(edges=s.store.table("edges").withColumn("target_qualified", F.replace("target_qualified", F.lit("lib.util"), F.lit("lib/util.py"))))
+    q = s.graph("query", pattern="importers_of", target="lib/util.py::helper")
+    assert [(r["importer"], r["file"]) for r in q["results"]] == [("main.py", "main.py")] and len(q["edges"]) == 1 and q["target"] == "lib/util.py::helper"
+    assert s.graph("query", pattern="callers_of", target="helper")["target"] == "lib/util.py::helper"  # found by search
+    s.graph("build", full_rebuild=True)
+    assert {r["name"] for r in s.graph("query", pattern="file_summary", target="lib/util.py")["results"]} >= {"helper"}
     q = s.graph("query", pattern="callers_of", target="lib/util.py::helper")
     assert [r["qualified_name"] for r in q["results"]] == ["main.py::go"] and q["edges"][0]["line"] == 4
     assert s.graph("query", pattern="callers_of", target="map")["results"] == []
@@ -126,7 +136,7 @@ def test_build_query_update(spark, project, tmp_path):
     (project / "main.py").unlink()
     s.graph("update", changed_files=["main.py"])
     assert s.graph("stats")["files_count"] == 1
-    assert s.graph("update", changed_files=[])["summary"] == "No changes detected. Graph is up to date."
+    assert s.graph("update", changed_files=[])["summary"] .startswith("Nothing has changed")
 
 
 def test_search_modes_and_review(spark, project, tmp_path):
@@ -182,3 +192,80 @@ def test_removed_files_keep_their_embeddings_unless_fixed(spark, project, tmp_pa
     s.graph("build", full_rebuild=True)
     s.store.remove_files(gone, fixed=True)
     assert s.store.table("embeddings").count() == 1
+
+
+def test_one_result_for_each_edge(spark, project, tmp_path):
+    (project / "main.py").write_text("from lib.util import helper\n\ndef go():\n    helper(1)\n    return helper(2)\n")
+    s = GraphSession(spark, str(project), f"file://{tmp_path}/g")
+    s.graph("build", full_rebuild=True)
+    q = s.graph("query", pattern="callers_of", target="lib/util.py::helper")
+    assert [r["qualified_name"] for r in q["results"]] == ["main.py::go"] * 2 and sorted(e["line"] for e in q["edges"]) == [4, 5]
+
+
+def test_other_folders_are_refused(spark, tmp_path):
+    s = GraphSession(spark, str(tmp_path), f"file://{tmp_path}/g")
+    assert s.graph("build", full_rebuild=True)["status"] == "error" and s.store.version() is None
+    assert "no such folder" in GraphSession(spark, str(tmp_path / "x"), f"file://{tmp_path}/g").graph("stats")["error"]
+
+
+# ---------------------------------------------------------------- versions
+
+
+def _graph_of(spark, files, value="a"):
+    from codeloom.graph import Graph
+    from codeloom.schemas import EDGES, NODES
+
+    nodes = [("File", f, f, f, 1, 2, "python", None, None, None, None, False, value, None) for f in files]
+    edges = [("CONTAINS", f, f"{f}::x", f, 1, None) for f in files]
+    return Graph(spark.createDataFrame(nodes, NODES), spark.createDataFrame(edges, EDGES))
+
+
+@pytest.fixture
+def stored(spark, tmp_path):
+    from codeloom.store import GraphStore
+
+    store = GraphStore(spark, f"file://{tmp_path}/g", buckets=8)
+    g = _graph_of(spark, [f"f{i}.py" for i in range(60)])
+    store.commit(nodes=g.nodes, edges=g.edges)
+    return store
+
+
+def test_an_update_writes_only_its_buckets(spark, stored):
+    before = stored._latest()[1]
+    paths = spark.createDataFrame([("f1.py",), ("f2.py",)], "file_path string")
+    assert stored.replace_files(_graph_of(spark, ["f1.py"], "b"), paths, {"k": "v"}) == 2
+    after = stored._latest()[1]
+    changed = {b for b in after["nodes"] if after["nodes"][b] != before["nodes"].get(b)}
+    assert 1 <= len(changed) <= 2 and {b for b in after["edges"] if after["edges"][b] != before["edges"].get(b)} == changed
+    got = {r.file_path: r.file_hash for r in stored.table("nodes").collect()}
+    assert got == {f"f{i}.py": "b" if i == 1 else "a" for i in range(60) if i != 2} and stored.metadata("k") == "v"
+    assert stored.table("edges").count() == 59
+
+
+def test_readers_see_whole_versions_only(spark, stored, tmp_path):
+    half = tmp_path / "g" / "versions" / "000000000002.json"
+    half.write_text('{"nodes": {"0": ')  # a writer that has just begun, or died
+    assert stored.version() == 1 and stored.table("nodes").count() == 60
+    half.unlink()
+    stored._write("nodes", stored.table("nodes").limit(1), 8)  # data without a manifest
+    assert stored.version() == 1 and stored.table("nodes").count() == 60
+
+
+def test_the_second_of_two_writers_fails(spark, stored):
+    from codeloom.store import ConcurrentWrite
+
+    since = stored._latest()
+    stored.commit(since=since, nodes=stored.table("nodes").where("file_path = 'f1.py'"))
+    with pytest.raises(ConcurrentWrite):
+        stored.commit(since=since, nodes=stored.table("nodes").limit(0))
+    assert stored.version() == 2 and stored.table("nodes").count() == 1
+
+
+def test_old_versions_go(spark, stored, tmp_path):
+    paths = spark.createDataFrame([("f1.py",)], "file_path string")
+    for _ in range(4):
+        stored.replace_files(_graph_of(spark, ["f1.py"]), paths)
+    folders = lambda: len(list((tmp_path / "g" / "data").iterdir()))
+    before = folders()
+    assert stored.vacuum() == before - folders() > 0
+    assert stored._numbers() == [5, 4, 3] and stored.table("nodes").count() == 60

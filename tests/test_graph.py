@@ -171,8 +171,12 @@ def test_guidance(auth, spark):
     i = traverse.impact_radius(auth, spark.createDataFrame([("/repo/auth.py",)], "file_path string"))
     counts = review.guidance_counts(auth, i).first().asDict()
     assert counts == {"untested_functions": 1, "impacted_nodes": 1, "inheritance_edges": 0, "impacted_files": 1}
-    assert review.guidance_text(counts, ["login"]) == "- 1 changed function(s) lack test coverage: login"
-    assert "well-contained" in review.guidance_text(dict.fromkeys(counts, 0), [])
+    text = review.guidance_text(counts, ["login"])
+    assert "login" in text and len(text.splitlines()) == 1
+    assert review.guidance_text(dict.fromkeys(counts, 0), []).startswith("* Nothing stands out")
+    bounds = {"untested_functions": 0, "impacted_nodes": 21, "inheritance_edges": 1, "impacted_files": 4}
+    assert len(review.guidance_text(bounds, []).splitlines()) == 3
+    assert len(review.guidance_text(bounds | {"impacted_nodes": 20, "impacted_files": 3}, []).splitlines()) == 1
 
 
 def test_upsert_is_idempotent_and_keeps_the_last(spark):
@@ -247,3 +251,40 @@ def test_written_tables_can_be_dropped(spark):
     assert place.exists()
     shared.drop_written(spark)
     assert not place.exists()
+
+
+def test_nearest_in_blocks_of_queries(spark, monkeypatch):
+    import math
+    import random
+
+    from codeloom.operators import embed
+
+    r = random.Random(3)
+    v = lambda: [r.uniform(-1, 1) for _ in range(6)]
+    rows, queries = [(f"n{i}", v()) for i in range(40)], [(f"q{i}", v()) for i in range(7)]
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+    want = {(q, n, k + 1) for q, x in queries for k, (_, n) in enumerate(sorted((-round(cos(x, y), 4), n) for n, y in rows)[:3])}
+    for size in (1_000, 2):
+        monkeypatch.setattr(embed, "QUERY_BLOCK", size)
+        got = embed.nearest_batch(spark.createDataFrame(rows, "n string, v array<double>"), spark.createDataFrame(queries, "query string, q array<double>"), "n", "v", 3)
+        assert {(x["query"], x.n, x["rank"]) for x in got.collect()} == want
+
+
+def test_innermost_in_long_files(spark):
+    import random
+
+    from codeloom.graph import Graph
+    from codeloom.operators import search
+    from codeloom.schemas import NODES
+
+    r = random.Random(4)
+    spans = [("a", 1, 900)] + [(r.choice("ab"), a := r.randrange(1, 900), a + r.choice([0, 3, 40, 64, 200, 500])) for _ in range(120)]
+    nodes = [("Function", f"n{i}", f"{f}::n{i}", f, a, b, "python", None, None, None, None, False, None, None) for i, (f, a, b) in enumerate(spans)]
+    at = [(f, line) for f in "abc" for line in range(0, 1500, 7)]
+    got = {(x.file_path, x.line): x.qualified_name for x in search.innermost_at(Graph(spark.createDataFrame(nodes, NODES), None), spark.createDataFrame(at, "file_path string, line int")).collect()}
+    want = {}
+    for f, line in at:
+        inside = [(n[5] - n[4], n[2]) for n in nodes if n[3] == f and n[4] <= line <= n[5]]
+        if inside:
+            want[f, line] = min(inside)[1]
+    assert got == want
