@@ -11,6 +11,7 @@ import re
 from bisect import bisect_right
 from dataclasses import dataclass
 
+from . import solidity
 from .model import Report
 
 _ID = r"[A-Za-z_$][\w$]*"
@@ -61,7 +62,11 @@ SYNTAX: dict[str, Syntax] = {
     "ruby": Syntax(r"(?m)^[ \t]*(?:class|module)\s+([A-Z]\w*)", (r"(?m)^[ \t]*def\s+(?:self\.)?(\w+[?!=]?)",), r"""\brequire(?:_relative)?[ (]+['"]([^'"]+)['"]""", calls=r"(?!)", hash_comments=True, ends=True),
 }
 
-_NOT_CALLS = frozenset("if for while switch catch return sizeof function func fn fun def class new typeof await match when guard elif else super this constructor require echo print isset unset list array foreach using lock fixed checked unless until".split())
+#: What a function's head says of its result, behind the parameters.
+_ANNOTATION = re.compile(r"\s*(:\s*[^{};=]+?)\s*(?=[{;]|=>)")
+RETURNS = {"typescript": _ANNOTATION, "tsx": _ANNOTATION, "solidity": re.compile(r"[^{};]*?\b(returns\s*\([^)]*\))")}
+
+_NOT_CALLS = frozenset("if for while switch catch return sizeof function func fn fun def class new typeof await match when guard elif else super this constructor require echo print isset unset list array foreach using lock fixed checked unless until returns".split())
 
 
 def blank(text: str, hashes: bool, keep_strings: bool = False) -> str:
@@ -154,8 +159,11 @@ def extract(report: Report, text: str) -> None:
     spans = []
     for start, end, name, cls in functions:
         params = re.compile(r"\([^()]*(?:\([^()]*\)[^()]*)*\)").match(code, code.find("(", start)) if "(" in code[start : start + 200] else None
-        q = report.function(name, line(start), line(max(start, end - 1)), cls, params=params.group() if params else None)
+        result = RETURNS[report.language].match(code, params.end()) if params and report.language in RETURNS else None
+        q = report.function(name, line(start), line(max(start, end - 1)), cls, params=params.group() if params else None, return_type=result[1].strip() if result else None)
         spans.append((start, end, q))
+    if report.language == "solidity":
+        solidity.extend(report, code, line, classes, spans)
     for m in re.finditer(syn.calls, code):
         name = next(g for g in m.groups() if g)
         at = m.start(m.groups().index(name) + 1)

@@ -81,6 +81,49 @@ def test_block_languages(language):
     assert some <= {(k, t) for k, _, t, _, _ in r.edges}
 
 
+SOL = '''pragma solidity ^0.8.0;
+import "./a.sol";
+uint256 constant MAX = 10;
+contract Bank is Owned, Base {
+    using SafeMath for uint256;
+    mapping(address => uint256) public balances;
+    address private immutable owner = msg.sender;
+    uint[] queue;
+    struct Entry { uint256 inner; }
+    event Moved(address to);
+    modifier only() { require(true); _; }
+    constructor(address a) Base(a) { init(); }
+    function move(address to, uint n)
+        public only limited(n) override returns (bool ok) {
+        uint256 local = n;
+        emit Moved(to);
+        return send(to, local);
+    }
+}
+using Lib.Inner for Bank;
+'''
+
+
+def test_solidity_constructs():
+    r = parse("b.sol", "solidity", SOL.encode())
+    by_name = {n["name"]: n for n in r.nodes if n["kind"] == "Function"}
+    of = lambda name: (by_name[name]["qualified_name"], by_name[name]["return_type"], by_name[name]["modifiers"], by_name[name]["line_start"], by_name[name]["extra"])
+    assert of("balances") == ("b.sol::Bank.balances", "mapping(address => uint256)", "public", 6, {"solidity_kind": "state_variable", "mutability": None})
+    assert of("owner") == ("b.sol::Bank.owner", "address", "private", 7, {"solidity_kind": "state_variable", "mutability": "immutable"})
+    assert of("queue")[1:3] == ("uint[]", None) and of("MAX") == ("b.sol::MAX", "uint256", None, 3, {"solidity_kind": "constant"})
+    assert not {"inner", "local"} & set(by_name) and by_name["move"]["return_type"] == "returns (bool ok)"
+    assert edges(r, "DEPENDS_ON") == [("b.sol", "Inner"), ("b.sol::Bank", "SafeMath")]
+    calls = [(s.rsplit("::")[-1], t, line) for k, s, t, line, _ in r.edges if k == "CALLS"]
+    assert {("Bank.move", "only", 14), ("Bank.move", "limited", 14), ("Bank.move", "Moved", 16), ("Bank.move", "send", 17), ("Bank.constructor", "Base", 12), ("Bank.constructor", "init", 12)} <= set(calls)
+    assert not {"public", "override", "returns"} & {t for _, t, _ in calls}
+    assert ("b.sol::Bank", "b.sol::Bank.queue") in edges(r, "CONTAINS") and ("b.sol", "b.sol::MAX") in edges(r, "CONTAINS")
+
+
+def test_return_types():
+    r = parse("a.ts", "typescript", b"class A {\n  f(x: number): Promise<string> {\n    return g(x);\n  }\n}\nfunction top(): void { }\nfunction bare() { }\n")
+    assert {n["name"]: n["return_type"] for n in r.nodes if n["kind"] == "Function"} == {"f": ": Promise<string>", "top": ": void", "bare": None}
+
+
 def test_nothing_for_unknown_languages():
     assert not parse("x.txt", "", b"class A").nodes
 
