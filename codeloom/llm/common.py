@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import os
 import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -15,43 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import own_tables, written  # noqa: F401
+
 #: A word is a run of characters other than ASCII white space.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
-_own_dir: str | None = None
-_materialized: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a folder of our own where none is named."""
-    global _own_dir
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="codeloom-")
-        atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
-    return f"file://{_own_dir}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut and later readers see the same rows.
-
-    The files are ordinary Parquet in shared storage, so a lost executor costs only the tasks it was running.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _materialized.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_materialized(spark: SparkSession) -> None:
-    """Deletes every table that ``materialize`` has written in this process: results that read them must be stored first."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _materialized:
-        path = jvm.org.apache.hadoop.fs.Path(_materialized.pop())
-        path.getFileSystem(conf).delete(path, True)
+#: Writes a table to the shared folder and reads it back: lineage is cut and later readers see the same rows.
+materialize = written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
