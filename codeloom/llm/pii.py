@@ -7,7 +7,9 @@ try, while its characters stay used up.
 
 Kinds: ``email``, ``ip``, ``card`` (Luhn), ``phone`` are the base kinds; the method adds ``address`` (a URL that carries
 user information, or a ``mailto:``) and ``account`` (credentials and account numbers after a cue, IBANs with a valid
-check number). Added spans never change the base ones.
+check number, told by their country code or after a cue). Added spans never change the base ones.
+
+Every character is read a bounded number of times, so runs of digits or of schemes of any length cost no more than prose.
 
 Null or empty text: no spans. Repeated rows are searched row by row; extra columns are ignored. Offsets are code points,
 ends exclusive.
@@ -31,16 +33,19 @@ KINDS = (*BASE_KINDS, "address", "account")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+_DIGIT_RUN = re.compile(r"[0-9]+")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_AUTHORITY = re.compile(r"[^\s<>\"'`{}|\\^/]+")
+_MAILBOX = re.compile(r"[^\s<>\"'`{}|\\^/:]+")
 _URL_REST = re.compile(r"[^\s<>\"'`{}|\\^]+")
 _VALUE = re.compile(r"""\s{0,3}[=:]\s{0,3}["']?([A-Za-z0-9_+/.@#$!%^&*~-]{6,})["']?""")
-_NUMBER = re.compile(r"[\s:=#.]{1,6}(?:no|nr|number|num)?[\s:=#.]{0,4}([A-Z]{0,2}[0-9][0-9A-Z -]{4,40}[0-9])")
+_NUMBER = re.compile(r"[\s:=#.]{1,6}(?:no|nr|number|num)?[\s:=#.]{0,4}([A-Z]{0,2}[0-9]+(?:[ -]?[A-Z]{0,2}[0-9]+)*)")
 _KEY_ID = re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 _IBAN_START = re.compile(r"(?=[A-Z]{2}[0-9]{2})")
-IBAN_WITHIN = 48  #: characters behind a cue in which an IBAN begins
+IBAN_WITHIN = 48  #: characters behind a cue in which an IBAN of a country that is not listed begins; listed ones need no cue
 
 # Lengths of IBANs by country.
 IBAN_LENGTHS = {
@@ -70,6 +75,18 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def ip_ok(parts: list[str]) -> bool:
+    """At most 255 each, however many zeros lead."""
+    return all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in parts))
+
+
+def like_a_secret(value: str) -> bool:
+    """No plain word: it has digits, symbols or capitals behind small letters, or is a very long run of letters."""
+    core = value.rstrip(".!-")
+    inner = any(c in "0123456789#$%^&*~+@!" for c in core) or any(a.islower() and b.isupper() for a, b in zip(core, core[1:], strict=False))
+    return inner or (len(core) >= 20 and core.isalpha())
+
+
 def iban_ok(text: str) -> bool:
     s = text.replace(" ", "")
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
@@ -99,7 +116,7 @@ def automaton():
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for kind, words in (("@", "@"), ("+", "+"), ("d", _DIGITS), ("scheme", SCHEMES), ("secret", SECRET_CUES), ("number", NUMBER_CUES), ("iban", IBAN_CUES), ("key", ("AKIA",))):
+    for kind, words in (("@", "@"), ("+", "+"), ("d", _DIGITS), ("scheme", SCHEMES), ("secret", SECRET_CUES), ("number", NUMBER_CUES), ("iban", IBAN_CUES), ("country", IBAN_LENGTHS), ("key", ("AKIA",))):
         for w in words:
             a.add_word(w, (kind, len(w)))
     a.make_automaton()
@@ -112,9 +129,10 @@ def spans_of(text: str, anchors) -> Iterator[tuple[str, int, int]]:
     for last, (kind, size) in anchors.iter(text):
         at = last + 1 - size
         if kind == "d":
-            if at >= done["ip"] and (m := _IP.match(text, at)):
-                done["ip"] = m.end()
-                if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+            if at >= done["ip"]:
+                m = _IP.match(text, at)
+                done["ip"] = (m or _DIGIT_RUN.match(text, at)).end()  # where a run of digits begins no match, none of its digits does
+                if m and ip_ok(m.group().split(".")):
                     yield "ip", at, m.end()
             if at >= done["card"] and (m := _CARD.match(text, at)):
                 done["card"] = m.end()
@@ -134,7 +152,10 @@ def spans_of(text: str, anchors) -> Iterator[tuple[str, int, int]]:
                 if 9 <= sum(map(m.group().count, _DIGITS)) <= 15:
                     yield "phone", at, m.end()
         elif kind == "scheme":
-            if at >= done["address"] and (m := _URL_REST.match(text, last + 1)):
+            # The authority alone decides first: it ends before the next scheme, the rest of an address need not.
+            part = (_MAILBOX if text[at] == "m" else _AUTHORITY).match(text, last + 1) if at >= done["address"] else None
+            if part and "@" in part.group() and "." in part.group().rpartition("@")[2]:
+                m = _URL_REST.match(text, last + 1)
                 end = m.end() - (len(m.group()) - len(m.group().rstrip(".,;:!?)")))
                 user, sign, host = text[last + 1 : end].partition("/")[0].rpartition("@")
                 if user and sign and "." in host:
@@ -143,11 +164,14 @@ def spans_of(text: str, anchors) -> Iterator[tuple[str, int, int]]:
         elif at >= done["account"]:
             found = None
             if kind == "secret":
-                if (m := _VALUE.match(text, last + 1)) and any(c in _DIGITS for c in m[1]):
+                if (m := _VALUE.match(text, last + 1)) and like_a_secret(m[1]):
                     found = m.span(1)
             elif kind == "number":
                 if (m := _NUMBER.match(text, last + 1)) and sum(map(m[1].count, _DIGITS)) >= 6:
                     found = m.span(1)
+            elif kind == "country":
+                if text[last + 1 : last + 2].isdigit() and not (at and text[at - 1].isalnum()) and (end := iban_at(text, at)) and len(text[at:end].replace(" ", "")) == IBAN_LENGTHS[text[at : at + 2]]:
+                    found = at, end
             elif kind == "key":
                 if (m := _KEY_ID.match(text, at)) and not (at and text[at - 1].isalnum()):
                     found = m.span()
@@ -220,7 +244,7 @@ def digest(found: DataFrame) -> DataFrame:
     base = F.filter("found", lambda s: s.kind.isin(*BASE_KINDS))
     of = lambda kind: F.size(F.filter("found", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
     counts = [of(k) for k in KINDS]
-    return found.select("doc_id", *counts[:4], F.sha2(join(base), 256).alias("base_sha256"), join(F.col("found")).alias("spans"), *counts[4:])
+    return found.select("doc_id", *counts[:4], F.sha2(join(base), 256).alias("base_sha256"), join(F.col("found")).alias("spans"), *counts[4:], F.size("found").cast("long").alias("n_spans"))
 
 
 def sha256_of(spans: list[tuple[str, int, int]]) -> str:
