@@ -16,8 +16,8 @@ does not rule out. So no pair of different classes that could be a link stays un
 
 Equal texts are one text from the start (MD5 of the bytes). Words are runs of letters, digits and underscores,
 lower-cased. A text of one to four words is one shingle. Null counts as empty; texts without words form classes by
-equality only. Repeated rows are in one class; extra columns are ignored; ``class_id`` is the class's least ``doc_id``. A
-text that only rows without an id have is in a class by equality only.
+equality only. Repeated rows are in one class; extra columns are ignored; ``class_id`` is the class's least ``doc_id``, null
+for a class of rows without ids, which ``class_md5`` tells apart.
 """
 
 from __future__ import annotations
@@ -209,7 +209,7 @@ def signatures(docs: DataFrame, idf: np.ndarray, rules: NearRules, id_col: str,
 
 
 def links(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, rules: NearRules) -> DataFrame:
-    """Those of ``pairs`` (a, b) that reach the threshold."""
+    """Those of ``pairs`` (a, b) that reach the threshold, with their similarity."""
     a = texts.select(F.col("tkey").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("tkey").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "text_a", "text_b")
@@ -226,12 +226,13 @@ def links(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, rules: NearRules)
 
         def run(xs, ys, text_x, text_y):
             for x, y, s, t in zip(xs, ys, text_x, text_y, strict=True):
-                if weighted_jaccard(vector(s, memo, idf, rules), of(y, t)) >= rules.threshold:
-                    yield x, y
+                like = weighted_jaccard(vector(s, memo, idf, rules), of(y, t))
+                if like >= rules.threshold:
+                    yield x, y, like
 
         return run
 
-    return map_rows(joined, "a binary, b binary", make, 512)
+    return map_rows(joined, "a binary, b binary, similarity double", make, 512)
 
 
 # ---------------------------------------------------------------- classes
@@ -290,7 +291,8 @@ def reachable(wa, wb, common, threshold: float):
 
 def near_classes(docs: DataFrame, rules: NearRules | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id, class_size (documents), class_texts (different texts), is_first (of the
-    class's least id), text_md5."""
+    class's least id), text_md5, class_md5 (least in the class), and the most similar text that the row's text was found linked
+    to, as link_md5 with its similarity; null where no other text is linked."""
     rules = rules or NearRules()
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     idf = inverse_frequencies(docs, rules, "text")
@@ -305,23 +307,29 @@ def near_classes(docs: DataFrame, rules: NearRules | None = None, id_col: str =
     n_reps = reps.count()
     links_found = None
     if n_reps:
+        # A text is read from the row of its least id, or from rows without one if it has no other.
         picked = reps.select("tkey", "rep")
         picked = F.broadcast(picked) if n_reps <= rules.broadcast_rows else picked
-        texts = docs.join(picked, docs.doc_id == F.col("rep")).where(F.unhex(F.md5(F.coalesce("text", F.lit("")))) == F.col("tkey"))
+        texts = docs.join(picked, docs.doc_id.eqNullSafe(F.col("rep")) & (F.unhex(F.md5(F.coalesce("text", F.lit("")))) == F.col("tkey")))
         texts = materialize(texts.select("tkey", "text").dropDuplicates(["tkey"]), "near-texts")
         links_found, labels = _link(members, texts, idf, rules)
     if links_found is None:
         labels = reps.select("tkey", F.col("tkey").alias("comp")).limit(0)
+        best = reps.select("tkey", F.lit(None).cast("binary").alias("link"), F.lit(None).cast("double").alias("similarity")).limit(0)
+    else:
+        ends = links_found.select(F.col("a").alias("tkey"), F.col("b").alias("link"), "similarity").union(links_found.select("b", "a", "similarity"))
+        best = ends.groupBy("tkey").agg(F.max(F.struct("similarity", "link")).alias("m")).select("tkey", "m.link", "m.similarity")
 
     # Classes of documents. Most texts are alone; the label of the others comes by key.
     own = signed.groupBy("tkey").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    own = own.join(labels, "tkey", "left").withColumn("comp", F.coalesce("comp", "tkey"))
+    own = own.join(labels, "tkey", "left").withColumn("comp", F.coalesce("comp", "tkey")).join(best, "tkey", "left")
     classes = own.groupBy("comp").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("class_texts"))
-    own = own.select("tkey", "comp").join(classes, "comp").select("tkey", "class_id", "class_size", "class_texts")
+    own = own.select("tkey", "comp", "link", "similarity").join(classes, "comp")
     own = materialize(own, "near-classes")
     result = signed.select("doc_id", "tkey").join(own, "tkey")
     first = F.col("doc_id").eqNullSafe(F.col("class_id"))
-    return result.select("doc_id", "class_id", "class_size", "class_texts", first.alias("is_first"), F.lower(F.hex("tkey")).alias("text_md5"))
+    md5 = lambda c, name: F.lower(F.hex(c)).alias(name)
+    return result.select("doc_id", "class_id", "class_size", "class_texts", first.alias("is_first"), md5("tkey", "text_md5"), md5("comp", "class_md5"), md5("link", "link_md5"), "similarity")
 
 
 def _link(members: DataFrame, texts: DataFrame, idf: np.ndarray, rules: NearRules) -> tuple[DataFrame | None, DataFrame | None]:
@@ -374,14 +382,17 @@ def _link(members: DataFrame, texts: DataFrame, idf: np.ndarray, rules: NearRule
 
 
 def drop_near_copies(docs: DataFrame, rules: NearRules | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each class: the one of least id. A repeated row of that id and text stays once."""
+    """``docs`` with one document of each class: the one of least id, or, in a class without ids, the one of least text hash. Of
+    several texts of one id in a class the one of least hash stays; a repeated row of that id and text stays once. Null texts are
+    copies of empty ones."""
     first = near_classes(docs, rules, id_col, text_col).where("is_first")
-    first = materialize(first.groupBy(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5"), "class_id").agg(F.count(F.lit(1)).alias("_n")), "near-first")
+    first = materialize(first.groupBy(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5"), "class_md5").agg(F.count(F.lit(1)).alias("_n")), "near-first")
     md5 = F.md5(F.coalesce(docs[text_col], F.lit("")))
     pick = lambda ids: docs.join(ids, docs[id_col].eqNullSafe(ids["_id"]) & (md5 == ids["_md5"]), "left_semi")
-    # One id and text may stand first for a class only; of several texts of one id in a class, the least stays.
-    one = first.groupBy("class_id", "_id").agg(F.min("_md5").alias("_md5"), F.min_by("_n", "_md5").alias("_n"))
+    one = first.groupBy("class_md5", "_id").agg(F.min("_md5").alias("_md5"), F.min_by("_n", "_md5").alias("_n"))
     kept, again = pick(one.where(F.col("_n") == 1)), one.where(F.col("_n") > 1)
-    return kept if again.isEmpty() else kept.union(pick(again).dropDuplicates([id_col, text_col]))
-
-
+    if again.isEmpty():
+        return kept
+    # Repeated rows: null and empty texts are one text here.
+    row = pick(again).withColumn("_text", F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    return kept.union(row.dropDuplicates([id_col, "_text"]).drop("_text"))
