@@ -20,7 +20,9 @@ Extra columns are ignored. Cut-off pages are read as far as they go.
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
+import math
 import re
 from collections import defaultdict
 from dataclasses import dataclass
@@ -37,7 +39,10 @@ from .common import materialize
 class TemplateRules:
     min_class: int = 2  #: tokens of a valid class
     min_share: float = 0.3  #: of a host's pages that a valid class occurs on
-    min_pages: int = 4  #: of a host before a constant slot counts as template text
+    min_pages: int = 4  #: of a host before any text counts as template text
+    template_share: float = 0.9  #: of a host's pages that template text is on
+    few_pages: int = 16  #: of a host before a slot that reads one of few texts counts as template text:
+    few: int = 4  #: on average, each of them is on so many pages
     region_share: float = 0.6  #: of a region's text that makes a child the better region
     broadcast_bytes: int = 8 << 20  #: templates are broadcast when they have been measured and are no larger
 
@@ -59,8 +64,17 @@ _MAIN_NAME = re.compile(r"(?:^|[-_\s])(?:article|main|content|post|entry|story|b
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "body": ("head",)}
 LIST_OF = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",)}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.DOTALL)
-_NAME = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+#: Quotes count only behind an equals sign: an unquoted value may hold them.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))|[^<>])*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.DOTALL)
+_ATTRIBUTE = re.compile(r"""([^\s=/>]+)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s>]*)))?""")
+_NAMED = re.compile("class|id|role", re.IGNORECASE)
+
+
+def names_of(attributes: str) -> dict[str, str]:
+    """Class, id and role of an element."""
+    if not _NAMED.search(attributes):
+        return {}
+    return {k.lower(): a or b or c or "" for k, a, b, c in _ATTRIBUTE.findall(attributes) if _NAMED.fullmatch(k)}
 
 
 @dataclass
@@ -185,7 +199,7 @@ def page_parts(page: str, region: str = "") -> tuple[list[str], list[tuple[str,
             tokens.append(f"{stack[-1][1]}/{tag}")
             at = end.end() if end else n
             continue
-        names = {k.lower(): a or b or c for k, a, b, c in _NAME.findall(m[3])} if m[3].strip(" /") else {}
+        names = names_of(m[3])
         hard = tag in FURNITURE and tag not in SOFT
         named = tag not in MAIN and tag not in ("body", "html") and any(_FURNITURE_NAME.search(v or "") for v in names.values())
         if tag in INLINE and not (hard or named or tag in SOFT):
@@ -200,7 +214,7 @@ def page_parts(page: str, region: str = "") -> tuple[list[str], list[tuple[str,
         if stack[-1][0] == "p" and tag not in INLINE:
             stack.pop()
         name = names.get("id") or names.get("class") or ""
-        path = f"{stack[-1][1]}/{tag}" + (f".{'.'.join(name.split()[:2])}" if name else "")
+        path = f"{stack[-1][1]}/{tag}" + (f".{'.'.join(name.replace('#', '').split()[:2])}" if name else "")
         tokens.append(path)
         if not m[3].endswith("/"):
             _, _, inside, around, main, h1 = stack[-1]
@@ -239,18 +253,21 @@ def mix(x: int) -> int:
 
 
 def text_hash(s: str) -> int:
-    import zlib
+    return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") >> 1
+
 
-    b = s.encode("utf-8", "surrogatepass")
-    return zlib.crc32(b) << 31 | zlib.adler32(b) & 0x7FFFFFFF
+def text_token(path: str, text: str) -> str:
+    """The token of a block that reads ``text``."""
+    return f"{path}#={text_hash(text):x}"
 
 
-TOKENS = "host string, token string, pages long, sum long, vector long, chars long, furniture long, least long, most long"
+TOKENS = "host string, token string, pages long, sum long, vector long, chars long, furniture long, least long, most long, bits long"
 
 
 def occurrence_vectors(pages: DataFrame) -> DataFrame:
-    """Per host and token: pages that have it, occurrences, fingerprint of the vector; for slots their text sizes and hashes, and
-    whether they are furniture on most of their pages.
+    """Per host and token: pages that have it, occurrences, fingerprint of the vector; for slots and block texts their sizes and
+    whether they are furniture on most of their pages; for slots the least and greatest hash of what they read, and a bitmap of
+    these hashes, which tells constant slots and those that read one of a few texts.
 
     The empty token of a host stands for its pages. Sums are taken in every task before the shuffle.
     """
@@ -258,43 +275,44 @@ def occurrence_vectors(pages: DataFrame) -> DataFrame:
     def run(batches):
         seen: dict[tuple[str, str], list] = {}
 
+        def signed(x):
+            return x - (1 << 64) if x is not None and x >> 63 else x
+
         def batch():
-            rows = [[h, t, *v] for (h, t), v in seen.items()]
+            flat = [[h, t, *map(signed, v)] for (h, t), v in seen.items()]
             seen.clear()
-            types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-            signed = [[r[:4], [r[4] - (1 << 64) if r[4] >> 63 else r[4]], r[5:]] for r in rows]
-            flat = [a + b + c for a, b, c in signed]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in flat], type=t) for i, t in enumerate(types)], names=["host", "token", "pages", "sum", "vector", "chars", "furniture", "least", "most"])
+            types = [pa.string(), pa.string(), *[pa.int64()] * 8]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in flat], type=t) for i, t in enumerate(types)], names=["host", "token", "pages", "sum", "vector", "chars", "furniture", "least", "most", "bits"])
 
         for b in batches:
             for i, url, page in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 tokens, blocks = page_parts(page or "")
                 host, key = host_of(url), mix(text_hash(f"{i} {url}"))
-                count: dict[str, list] = defaultdict(lambda: [0, 0, False, None, None])
+                count: dict[str, list] = defaultdict(lambda: [0, 0, False, None])
                 count[""][0] = 1
                 for t in tokens:
                     count[t][0] += 1
                 joined: dict[str, list[str]] = defaultdict(list)
                 for path, text, furniture in blocks:
-                    c = count[path + "#"]
-                    c[0] += 1
-                    c[1] += len(text)
-                    c[2] = c[2] or furniture
+                    for t in (path + "#", text_token(path, text)):
+                        c = count[t]
+                        c[0] += 1
+                        c[1] += len(text)
+                        c[2] = c[2] or furniture
                     joined[path + "#"].append(text)
                 for t, parts in joined.items():
-                    count[t][3] = count[t][4] = text_hash("\n".join(parts))
-                for t, (k, chars, furniture, lo, hi) in count.items():
+                    count[t][3] = text_hash("\n".join(parts))
+                for t, (k, chars, furniture, reads) in count.items():
                     v = seen.get((host, t))
                     if v is None:
-                        v = seen[host, t] = [0, 0, 0, 0, 0, lo, hi]
+                        v = seen[host, t] = [0, 0, 0, 0, 0, reads, reads, None if reads is None else 0]
                     v[0] += 1
                     v[1] += k
                     v[2] ^= mix(key + k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
                     v[3] += chars
                     v[4] += furniture
-                    if lo is not None:
-                        v[5] = lo if v[5] is None else min(v[5], lo)
-                        v[6] = hi if v[6] is None else max(v[6], hi)
+                    if reads is not None:
+                        v[5], v[6], v[7] = min(v[5], reads), max(v[6], reads), v[7] | 1 << (reads & 63)
                 if len(seen) > 50_000:
                     yield batch()
         if seen:
@@ -302,7 +320,7 @@ def occurrence_vectors(pages: DataFrame) -> DataFrame:
 
     rows = pages.select("page_id", "url", "html").mapInArrow(run, TOKENS)
     sums = [F.sum(c).alias(c) for c in ("pages", "sum", "chars")]
-    return rows.groupBy("host", "token").agg(*sums, F.bit_xor("vector").alias("vector"), (2 * F.sum("furniture") > F.sum("pages")).alias("furniture"), F.min("least").alias("least"), F.max("most").alias("most"))
+    return rows.groupBy("host", "token").agg(*sums, F.bit_xor("vector").alias("vector"), (2 * F.sum("furniture") > F.sum("pages")).alias("furniture"), F.min("least").alias("least"), F.max("most").alias("most"), F.bit_or("bits").alias("bits"))
 
 
 def nested(path: str, parent: str) -> bool:
@@ -310,18 +328,19 @@ def nested(path: str, parent: str) -> bool:
 
 
 def deduce(n: int, rows: list[dict], rules: TemplateRules) -> tuple[list[dict], str, list[str]]:
-    """Valid classes of a host, its main region's path ('' for none) and the slots that are template text."""
+    """Valid classes of a host, its main region's path ('' for none), and the slots and block texts that are template text."""
     groups: dict[tuple, list[dict]] = defaultdict(list)
+    texts, rows = [r for r in rows if "#=" in r["token"]], [r for r in rows if "#=" not in r["token"]]
     for r in rows:
         if r["token"] and r["pages"] >= rules.min_share * n:
             groups[r["pages"], r["sum"], r["vector"]].append(r)
     classes = []
-    for (pages, total, _), members in groups.items():
+    for (pages, total, vector), members in groups.items():
         paths = sorted(m["token"] for m in members if not m["token"].endswith("#"))
         # Nested in order: each token's path is another's, extended, or starts below the same node.
         top = paths[0].rsplit("/", 1)[0] if paths else ""
         if len(paths) >= rules.min_class or (paths and total > pages):
-            classes.append({"pages": pages, "sum": total, "tokens": [p for p in paths if nested(p, top) or not top]})
+            classes.append({"pages": pages, "sum": total, "vector": vector, "tokens": [p for p in paths if nested(p, top) or not top]})
     classes.sort(key=lambda c: (-c["pages"], c["sum"], c["tokens"]))
 
     slots = [r for r in rows if r["token"].endswith("#") and not r["furniture"]]
@@ -345,13 +364,28 @@ def deduce(n: int, rows: list[dict], rules: TemplateRules) -> tuple[list[dict],
                     break
                 at, size = best[1], best[0]
             region = at
-    varied = any(s["least"] != s["most"] for s in slots if nested(s["token"], region))
+    if n < rules.min_pages:
+        return classes, region, []
+    # Template text: slots that read the same, or one of few texts, on their pages; and block texts that share the vector of a
+    # valid class, or come once on nearly all pages. Where most of the region would go, the pages are copies of one another.
     largest = max(slots, key=lambda s: s["chars"], default=None)
-    fixed = [s["token"] for s in slots if n >= rules.min_pages and varied and s is not largest and s["least"] == s["most"] and s["pages"] >= 0.9 * n]
-    return classes, region, sorted(fixed)
+    inside = lambda rs: [r for r in rs if nested(r["token"], region) and not r["furniture"] and r["pages"] >= rules.template_share * n]
+    vectors = {(c["pages"], c["sum"], c["vector"]) for c in classes}
+    fixed = [s for s in inside(slots) if s is not largest and (s["least"] == s["most"] or (n >= rules.few_pages and distinct(s["bits"]) * rules.few <= s["pages"]))]
+    known = {s["token"] for s in fixed}
+    fixed += [t for t in inside(texts) if t["token"].split("#=")[0] + "#" not in known and (t["sum"] == t["pages"] or (t["pages"], t["sum"], t["vector"]) in vectors)]
+    if 2 * sum(t["chars"] for t in fixed) > held(region):
+        return classes, region, []
+    return classes, region, sorted(t["token"] for t in fixed)
+
+
+def distinct(bits: int) -> float:
+    """About how many hashes a bitmap of 64 has seen; infinite when it is nearly full."""
+    empty = 64 - (bits & (1 << 64) - 1).bit_count()
+    return 64 * math.log(64 / empty) if empty > 8 else math.inf
 
 
-TEMPLATES = "host string, n_pages long, region string, fixed array<string>, classes array<struct<pages:long,sum:long,tokens:array<string>>>"
+TEMPLATES = "host string, n_pages long, region string, fixed array<string>, classes array<struct<pages:long,sum:long,vector:long,tokens:array<string>>>"
 
 
 def templates(pages: DataFrame, rules: TemplateRules | None = None) -> DataFrame:
@@ -360,12 +394,14 @@ def templates(pages: DataFrame, rules: TemplateRules | None = None) -> DataFrame
     vectors = materialize(occurrence_vectors(pages), "html-vectors")
     counts = vectors.where(F.col("token") == "").select(F.col("host").alias("_h"), F.col("pages").alias("n_pages"))
     # Tokens on few of a host's pages belong to no template; the rest are at most 1 / min_share times a page's tokens.
-    frequent = vectors.join(counts, F.col("host") == F.col("_h")).where(F.col("pages") >= rules.min_share * F.col("n_pages"))
-    fields = ["token", "pages", "sum", "vector", "chars", "furniture", "least", "most"]
+    is_text = F.contains("token", F.lit("#="))
+    enough = F.when(is_text, (F.col("n_pages") >= rules.min_pages) & (F.col("pages") >= rules.template_share * F.col("n_pages"))).otherwise(F.col("pages") >= rules.min_share * F.col("n_pages"))
+    frequent = vectors.join(counts, F.col("host") == F.col("_h")).where(enough)
+    fields = ["token", "pages", "sum", "vector", "chars", "furniture", "least", "most", "bits"]
     grouped = frequent.groupBy("host", "n_pages").agg(F.collect_list(F.struct(*fields)).alias("rows"))
 
     def run(batches):
-        kind = pa.list_(pa.struct([("pages", pa.int64()), ("sum", pa.int64()), ("tokens", pa.list_(pa.string()))]))
+        kind = pa.list_(pa.struct([("pages", pa.int64()), ("sum", pa.int64()), ("vector", pa.int64()), ("tokens", pa.list_(pa.string()))]))
         for b in batches:
             out = [[], [], [], [], []]
             for host, n, rows in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -382,11 +418,12 @@ def main_text(page: str | None, region: str, fixed: frozenset[str]) -> str:
     tokens, blocks = page_parts(page or "", region)
     if not region or region not in tokens:
         tag = lambda p: p.rsplit("/", 1)[-1].split(".")[0]
-        own = [t for t in tokens if tag(t) in MAIN]
-        region = next((t for t in own if tag(t) == "article"), own[0] if own else "")
+        mains = [t for t in tokens if tag(t) in MAIN]
+        region = next((t for t in mains if tag(t) == "article"), mains[0] if mains else "")
         if not any(nested(p, region) and not f for p, _, f in blocks):
             region = ""
-    return "\n".join(t for p, t, furniture in blocks if not furniture and nested(p, region) and p + "#" not in fixed)
+    own = any("#=" in f for f in fixed)
+    return "\n".join(t for p, t, furniture in blocks if not furniture and nested(p, region) and p + "#" not in fixed and not (own and text_token(p, t) in fixed))
 
 
 def extract_main_text(pages: DataFrame, rules: TemplateRules | None = None) -> DataFrame:
