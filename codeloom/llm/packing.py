@@ -34,7 +34,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 @dataclass(frozen=True)
 class PackRules:
     length: int = 2048
-    unit: int = 16  #: width of a length class in tokens; must divide ``length``
+    unit: int = 2  #: width of a length class in tokens; must divide ``length``
     end_id: int = 1
     vocabulary: str = "word_bpe_49k.json"
     folder: str | None = None
@@ -116,8 +116,9 @@ def chunks(docs: DataFrame, rules: PackRules, id_col: str = "doc_id", text_col:
 # ---------------------------------------------------------------- patterns
 
 
-def knapsack(value: np.ndarray, size: int) -> tuple[float, np.ndarray]:
-    """Unbounded knapsack: item i (1..size) has weight i. Best value in capacity ``size`` and how often each is taken."""
+def knapsack(value: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack: item i (1..size) has weight i. Best value in every capacity up to ``size``, and the item to take there
+    (0: leave one unit empty)."""
     best, pick = np.zeros(size + 1), np.zeros(size + 1, dtype=int)
     for cap in range(1, size + 1):
         worth = value[:cap] + best[cap - 1 :: -1][:cap]
@@ -126,65 +127,97 @@ def knapsack(value: np.ndarray, size: int) -> tuple[float, np.ndarray]:
             best[cap], pick[cap] = worth[i], i + 1
         else:
             best[cap], pick[cap] = best[cap - 1], 0
-    taken, cap = np.zeros(size, dtype=int), size
+    return best, pick
+
+
+def pattern(pick: np.ndarray, size: int, first: int) -> np.ndarray:
+    """How often each item is taken when ``first`` is, and then what ``pick`` says."""
+    taken = np.zeros(size, dtype=np.int64)
+    taken[first - 1] += 1
+    cap = size - first
     while cap > 0:
         if pick[cap]:
             taken[pick[cap] - 1] += 1
             cap -= pick[cap]
         else:
             cap -= 1
-    return float(best[size]), taken
+    return taken
 
 
-def cutting_stock(demand: np.ndarray, rounds: int = 4000) -> list[tuple[np.ndarray, int]]:
-    """Patterns and how often each is used. ``demand[i]``: pieces of size i + 1; a pattern's sizes sum to at most len(demand).
+def fractional(demand: np.ndarray, gap: float, per_round: int, stall: int) -> list[tuple[np.ndarray, float]]:
+    """Patterns and how often each is used, in fractions, by column generation with an explicit basis inverse from one
+    single-size pattern a class on. Every knapsack proposes the best pattern through each of its ``per_round`` best items.
 
-    Column generation with an explicit basis inverse, from one single-size pattern a class; rounded down, with the rest
-    packed first-fit-decreasing. Uses exactly ``demand``.
+    Ends when no pattern is worth more than one, when the total is within ``gap`` of it (or half a sequence) of the bound that the
+    prices prove, or when ``stall`` knapsacks in a row have not lowered it, as happens at ties: all of them usable solutions.
     """
-    size = len(demand)
-    used = np.flatnonzero(demand)
-    if not len(used):
-        return []
-    m = len(used)
-    weights = used + 1
-    basis = [np.where(np.arange(size) == w - 1, size // w, 0) for w in weights]
-    inverse = np.diag(1.0 / np.array([size // w for w in weights], dtype=float))
-    x = inverse @ demand[used].astype(float)
-    for _ in range(rounds):
+    size, used = len(demand), np.flatnonzero(demand)
+    m, number = len(used), np.full(len(demand), -1)
+    number[used] = np.arange(m)
+    basis = [np.where(np.arange(size) == w - 1, size // w, 0) for w in used + 1]
+    inverse = np.diag(1.0 / (size // (used + 1)).astype(float))
+    wanted = demand[used].astype(float)
+    x, price = inverse @ wanted, inverse.sum(axis=0)
+    least, still = x.sum(), 0
+    while still < stall:
         prices = np.zeros(size)
-        prices[used] = np.maximum(inverse.sum(axis=0), 0)
-        value, column = knapsack(prices, size)
-        if value <= 1 + 1e-7:
-            break
-        d = inverse @ column[used]
-        ratio = np.full(m, np.inf)
-        np.divide(x, d, out=ratio, where=d > 1e-9)
-        out = int(ratio.argmin())
-        if not np.isfinite(ratio[out]):
+        prices[used] = np.maximum(price, 0)
+        best, pick = knapsack(prices, size)
+        total = float(x.sum())
+        if best[size] <= 1 + 1e-7 or total - prices[used] @ wanted / best[size] <= max(0.5, gap * total):
             break
-        x = np.maximum(x - ratio[out] * d, 0)
-        x[out] = ratio[out]
-        row = inverse[out] / d[out]
-        inverse -= np.outer(d, row)
-        inverse[out] = row
-        basis[out] = column
-    left, found = demand.astype(np.int64).copy(), []
-    for p, n in sorted(zip(basis, x, strict=True), key=lambda b: -b[1]):
-        n = int(n + 1e-6)
-        with np.errstate(divide="ignore"):
-            n = min([n, *(left[p > 0] // p[p > 0])])
+        still = 0 if total < least - 1e-6 * total else still + 1
+        least = min(least, total)
+        through = prices[used] + best[size - used - 1]
+        for i in np.argsort(-through, kind="stable")[:per_round]:
+            if through[i] <= 1 + 1e-7:
+                break
+            column = pattern(pick, size, int(used[i]) + 1)
+            items = np.flatnonzero(column)
+            rows, times = number[items], column[items]
+            if price[rows] @ times <= 1 + 1e-7:  # an earlier one of this round has taken its worth
+                continue
+            d = inverse[:, rows] @ times
+            ratio = np.full(m, np.inf)
+            np.divide(x, d, out=ratio, where=d > 1e-9)
+            out = int(ratio.argmin())
+            if not np.isfinite(ratio[out]):
+                continue
+            x = np.maximum(x - ratio[out] * d, 0)
+            x[out] = ratio[out]
+            row = inverse[out] / d[out]
+            inverse -= np.outer(d, row)
+            inverse[out] = row
+            price = price - d.sum() * row + row
+            basis[out] = column
+        price = inverse.sum(axis=0)
+    return list(zip(basis, x.tolist(), strict=True))
+
+
+def cutting_stock(demand: np.ndarray, gap: float = 1e-4, per_round: int = 24, stall: int = 60) -> list[tuple[np.ndarray, int]]:
+    """Patterns and how often each is used. ``demand[i]``: pieces of size i + 1; a pattern's sizes sum to at most len(demand).
+
+    The linear program's solution is rounded down; what is left of the demand is packed first-fit-decreasing. Uses exactly
+    ``demand``.
+    """
+    if not demand.any():
+        return []
+    size, left, found = len(demand), demand.astype(np.int64).copy(), []
+    for p, n in sorted(fractional(demand, gap, per_round, stall), key=lambda b: -b[1]):
+        at = np.flatnonzero(p)
+        n = min(int(n + 1e-6), int((left[at] // p[at]).min()))
         if n > 0:
-            found.append((p, int(n)))
+            found.append((p, n))
             left -= p * n
     while left.any():
         # First fit decreasing: one pattern at a time, repeated as often as the remaining pieces allow.
         p, room = np.zeros(size, dtype=np.int64), size
-        for i in range(size - 1, -1, -1):
-            if left[i] and i < room:
+        for i in np.flatnonzero(left)[::-1]:
+            if i < room:
                 p[i] = min(left[i], room // (i + 1))
-                room -= int(p[i]) * (i + 1)
-        n = int((left[p > 0] // p[p > 0]).min())
+                room -= int(p[i]) * (int(i) + 1)
+        at = np.flatnonzero(p)
+        n = int((left[at] // p[at]).min())
         found.append((p, n))
         left -= p * n
     return found
