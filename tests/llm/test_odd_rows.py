@@ -98,15 +98,3 @@ def test_pipeline_stages(spark, odd, none, tmp_path):
             out = stage(spark, docs, str(tmp_path))
             n = out.count()
             assert name == "packing" or (out.columns == docs.columns and n <= docs.count())
-
-
-def test_intermediate_tables_can_be_dropped(spark, tmp_path):
-    from pathlib import Path
-
-    from codeloom.llm import common
-
-    t = common.materialize(spark.range(3).toDF("a"), "drop-me")
-    place = Path(t.inputFiles()[0].removeprefix("file://")).parent
-    assert t.count() == 3 and place.exists()
-    common.drop_materialized(spark)
-    assert not place.exists()
