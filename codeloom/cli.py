@@ -1,4 +1,4 @@
-"""Command line: ``python -m codeloom.cli serve|update|run``."""
+"""Command line: ``python -m codeloom.cli serve|update|watch``."""
 
 from __future__ import annotations
 
@@ -34,11 +34,14 @@ def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="codeloom")
     parser.add_argument("--version", action="version", version=__version__)
     sub = parser.add_subparsers(dest="command")
-    for name, says in (("serve", "answer requests on standard input"), ("update", "update the graph from git")):
+    for name, says in (("serve", "answer requests on standard input"), ("update", "update the graph from git"), ("watch", "follow changes that arrive in a folder")):
         p = sub.add_parser(name, help=says)
         p.add_argument("--repo", default=None)
         if name == "update":
             p.add_argument("--base", default="HEAD~1")
+        if name == "watch":
+            p.add_argument("folder")
+            p.add_argument("checkpoint")
     args = parser.parse_args(argv)
     if not args.command:
         parser.print_help()
@@ -46,6 +49,8 @@ def main(argv: list[str] | None = None) -> int:
     session = GraphSession(create_session(), str(args.repo or find_project_root()))
     if args.command == "serve":
         serve(session)
+    elif args.command == "watch":
+        session.watch(args.folder, args.checkpoint).awaitTermination()
     else:
         result = session.graph("update", base=args.base)
         print(result["summary"])

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..extract import extract
 from ..functions import binary_content, detect_language, ignored, is_test_file, is_test_name, node_text, sanitize_name
 from ..graph import Graph
 from ..operators import dml, embed, lookup, patterns, review, search, stats, traverse
@@ -560,6 +561,53 @@ def embed_all_nodes(spark, sf_dir):
     return made.select("qualified_name", "text_hash", "provider", F.md5(F.array_join(parts, ",")).alias("digest"))
 
 
+# ---------------------------------------------------------------- extraction
+
+#: A source file of every customer, which imports from the next one's.
+_SOURCE = """import os
+from src.c_{n} import f_{n}
+
+class Base{k}:
+    def run(self, x):
+        return f_{n}(x)
+
+class Sub{k}(Base{k}):
+    pass
+
+def f_{k}(x):
+    return helper(x)
+
+def test_f_{k}():
+    f_{k}(2)
+"""
+_FILES = "WITH f AS (SELECT c_custkey AS k, c_custkey + 1 AS n, 'src/c_' || c_custkey || '.py' AS p FROM customer)"
+
+
+def _project(spark: SparkSession, sf_dir: str) -> Graph:
+    key = lambda shift: F.replace(F.replace(F.lit(_SOURCE), F.lit("{k}"), F.col("c_custkey").cast("string")), F.lit("{n}"), (F.col("c_custkey") + shift).cast("string"))
+    c = _read(spark, sf_dir, "customer").select(F.concat(F.lit("src/c_"), F.col("c_custkey").cast("string"), F.lit(".py")).alias("path"), F.encode(key(1), "UTF-8").alias("content"))
+    return extract(c.select("path", F.lit("python").alias("language"), "content", F.sha2("content", 256).alias("file_hash")))[0]
+
+
+@query(_FILES + """ SELECT 'File' AS kind, p AS name, p AS qualified_name, 1 AS line_start, 16 AS line_end, NULL AS parent_name, NULL AS params, false AS is_test FROM f
+UNION ALL SELECT 'Class', 'Base' || k, p || '::Base' || k, 4, 6, NULL, NULL, false FROM f UNION ALL SELECT 'Function', 'run', p || '::Base' || k || '.run', 5, 6, 'Base' || k, '(self, x)', false FROM f
+UNION ALL SELECT 'Class', 'Sub' || k, p || '::Sub' || k, 8, 9, NULL, NULL, false FROM f UNION ALL SELECT 'Function', 'f_' || k, p || '::f_' || k, 11, 12, NULL, '(x)', false FROM f
+UNION ALL SELECT 'Test', 'test_f_' || k, p || '::test_f_' || k, 14, 15, NULL, '()', true FROM f""", graph=False)
+def extracted_nodes(spark, sf_dir):
+    return _project(spark, sf_dir).nodes.select("kind", "name", "qualified_name", "line_start", "line_end", "parent_name", "params", "is_test")
+
+
+@query(_FILES + """, e AS (SELECT 'IMPORTS_FROM' AS kind, p AS source_qualified, 'os' AS target_qualified, p AS file_path, 1 AS line FROM f UNION ALL SELECT 'IMPORTS_FROM', p, 'src.c_' || n, p, 2 FROM f
+UNION ALL SELECT 'CONTAINS', p, p || '::Base' || k, p, 4 FROM f UNION ALL SELECT 'CONTAINS', p || '::Base' || k, p || '::Base' || k || '.run', p, 5 FROM f UNION ALL SELECT 'CONTAINS', p, p || '::Sub' || k, p, 8 FROM f
+UNION ALL SELECT 'CONTAINS', p, p || '::f_' || k, p, 11 FROM f UNION ALL SELECT 'CONTAINS', p, p || '::test_f_' || k, p, 14 FROM f UNION ALL SELECT 'INHERITS', p || '::Sub' || k, 'Base' || k, p, 8 FROM f
+UNION ALL SELECT 'CALLS', p || '::f_' || k, 'helper', p, 12 FROM f UNION ALL SELECT 'CALLS', p || '::test_f_' || k, p || '::f_' || k, p, 15 FROM f
+UNION ALL SELECT 'CALLS', f.p || '::Base' || f.k || '.run', coalesce(g.p || '::', '') || 'f_' || f.n, f.p, 6 FROM f LEFT JOIN f g ON g.k = f.n)
+SELECT * FROM e""", graph=False)
+def extracted_edges(spark, sf_dir):
+    """Calls of imported names end at the file that defines them, where it is in the project."""
+    return _project(spark, sf_dir).edges
+
+
 # ---------------------------------------------------------------- writes and incremental update
 
 

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..extract import extract
+from ..functions import binary_content, detect_language, file_hash, ignored
+from ..shared import own_tables
+from ..sources.files import DEFAULT_IGNORES
+from ..store import GraphStore
+
 #: A change: path, op (``write`` or ``delete``), content, and its time.
 CHANGES = "path string, op string, content binary, ts timestamp"
 
@@ -41,3 +47,26 @@ def watch(changes: DataFrame, apply: Callable[[DataFrame, DataFrame], None], che
 
     writer = changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
+
+
+def change_files(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream of ``CHANGES`` from JSON lines in files that an editor, a hook or another job drops into ``folder``; content is base64."""
+    return spark.readStream.schema(CHANGES).json(folder)
+
+
+def into(store: GraphStore, patterns: list[str] | tuple[str, ...] = DEFAULT_IGNORES) -> Callable[[DataFrame, DataFrame], None]:
+    """What ``watch`` applies to keep ``store`` up to date: written files are parsed and replace what the graph has of them, deleted ones
+    go. Ignored, binary and unknown files count as deleted. A batch that is delivered again changes nothing."""
+
+    def apply(wrote: DataFrame, deleted: DataFrame) -> None:
+        spark = wrote.sparkSession
+        with own_tables(spark):
+            files = wrote.withColumn("language", detect_language(F.col("path"))).withColumn("file_hash", file_hash(F.col("content")))
+            files = files.where(F.col("language").isNotNull() & ~ignored(F.col("path"), patterns) & ~binary_content(F.col("content")))
+            known = store.table("nodes").where(F.col("kind") == "File").select(F.col("file_path").alias("path"))
+            graph, _, _ = extract(files, known)
+            paths = wrote.select("path").unionByName(deleted.select("path")).select(F.col("path").alias("file_path"))
+            store.replace_files(graph, paths, {"last_build_type": "watch"})
+        store.vacuum()
+
+    return apply

@@ -39,3 +39,26 @@ def test_stream_sessions(spark, tmp_path):
     q = debounced(stream, "path", "ts").writeStream.format("memory").queryName("sessions").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [(r.path, r.events) for r in spark.table("sessions").collect()] == [("a", 2)]
+
+
+def test_a_watched_graph_follows_changes(spark, tmp_path):
+    import base64
+    import json
+
+    from codeloom.session import GraphSession
+
+    (tmp_path / "p" / ".codeloom").mkdir(parents=True)
+    (tmp_path / "changes").mkdir()
+    s = GraphSession(spark, str(tmp_path / "p"), f"file://{tmp_path}/g")
+
+    def change(name, *rows):
+        lines = [json.dumps({"path": p, "op": op, "content": base64.b64encode(c.encode()).decode(), "ts": ts}) for p, op, c, ts in rows]
+        (tmp_path / "changes" / name).write_text("\n".join(lines))
+        s.watch(f"file://{tmp_path}/changes", f"file://{tmp_path}/c", available_now=True).awaitTermination()
+        return {(r.qualified_name) for r in s.store.table("nodes").collect()}
+
+    got = change("1.json", ("a.py", "write", "def f():\n    pass\n", "2024-01-01T00:00:00"), ("b.py", "write", "from a import f\ndef g():\n    f()\n", "2024-01-01T00:00:01"), ("x.lock", "write", "x", "2024-01-01T00:00:01"), ("bin.py", "write", "\0", "2024-01-01T00:00:01"))
+    assert got == {"a.py", "a.py::f", "b.py", "b.py::g"}
+    assert ("b.py::g", "a.py::f") in {(r.source_qualified, r.target_qualified) for r in s.store.table("edges").collect()}
+    got = change("2.json", ("a.py", "write", "def h():\n    pass\n", "2024-01-01T00:00:02"), ("b.py", "delete", "", "2024-01-01T00:00:03"))
+    assert got == {"a.py", "a.py::h"} and not [r for r in s.store.table("edges").collect() if r.file_path == "b.py"]
