@@ -9,7 +9,7 @@ Scoring collapses the linear model: every bucket has one number, a word the mean
 words' plus the bias. Every whole text is scored, map-only.
 
 Labels are learned only from rows that are not held out (crc32 of the id as text, mod 5, is not 0); a document with
-several labels takes the largest, null labels are ignored. Without two classes in the sample every score is the base
+several labels takes the largest, null labels are ignored. A text without words trains the bias alone. Without two classes in the sample every score is the base
 rate. Null and empty texts have no words and score by the bias alone; a null id is not held out. Repeated rows are scored row by row; extra columns
 are ignored. Language, source and id are never inputs of a score.
 """
@@ -23,7 +23,6 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import WordMemo, map_rows, materialize
@@ -65,6 +64,7 @@ class Model:
 
 
 def train(texts: list[str], labels: list[int], rules: ToxicRules) -> Model:
+    """Uses up ``texts``: each is freed once its words are counted."""
     y = np.array(labels, dtype=np.float32)
     if not len(y) or y.min() == y.max():
         rate = (float(y.sum()) + 0.5) / (len(y) + 1.0)
@@ -72,20 +72,22 @@ def train(texts: list[str], labels: list[int], rules: ToxicRules) -> Model:
     # Words by the hash of their spelling; a word's n-grams lie one behind the other in ``flat``.
     number: dict[int, int] = {}
     grams, starts, docs = array("i"), array("q", [0]), []
-    for text in texts:
+    texts.reverse()
+    while texts:
         ids = array("i")
-        for w in words_of(text):
+        for w in words_of(texts.pop()):
             i = number.setdefault(hash(w), len(number))
             if i == len(starts) - 1:
                 grams.extend(subwords(w, rules))
                 starts.append(len(grams))
             ids.append(i)
-        docs.append(np.unique(np.frombuffer(ids, np.int32), return_counts=True))
+        words, times = np.unique(np.frombuffer(ids, np.int32), return_counts=True)
+        docs.append((words, times.astype(np.int32)))
     flat, starts = np.frombuffer(grams, np.int32), np.frombuffer(starts, np.int64)
     del number
 
     rng = np.random.default_rng(rules.seed)
-    E = rng.normal(0, 0.1, (rules.buckets, rules.width)).astype(np.float32)
+    E = rng.normal(0, 0.1, (rules.buckets, rules.width)).astype(np.float32).T.copy()  # a row per dimension
     V = rng.normal(0, 0.5, (rules.width, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     params = [E, V, bias]
@@ -105,8 +107,8 @@ def train(texts: list[str], labels: list[int], rules: ToxicRules) -> Model:
             sizes = starts[words + 1] - starts[words]
             gram = flat[np.repeat(starts[words] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())]
             first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            word_vec = np.add.reduceat(E[gram], first, axis=0) / sizes[:, None]
-            mean = np.stack([np.bincount(doc_of, share * word_vec[back, k], len(pick)) for k in range(rules.width)], 1).astype(np.float32)
+            word_vec = [np.add.reduceat(e[gram], first) / sizes if len(words) else np.empty(0, np.float32) for e in E]
+            mean = np.stack([np.bincount(doc_of, share * x[back], len(pick)) for x in word_vec], 1).astype(np.float32)
             logits = mean @ V + bias
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
@@ -114,16 +116,15 @@ def train(texts: list[str], labels: list[int], rules: ToxicRules) -> Model:
             delta[np.arange(len(pick)), y[pick].astype(int)] -= 1
             delta *= (weight[pick] / len(pick))[:, None].astype(np.float32)
             d_mean = delta @ V.T
-            d_word = np.stack([np.bincount(back, share * d_mean[doc_of, k], len(words)) for k in range(rules.width)], 1) / sizes[:, None]
-            d_gram = np.repeat(d_word, sizes, axis=0)
-            d_E = np.stack([np.bincount(gram, d_gram[:, k], rules.buckets) for k in range(rules.width)], 1).astype(np.float32)
+            d_word = [np.bincount(back, share * d_mean[doc_of, k], len(words)) / sizes for k in range(rules.width)]
+            d_E = np.stack([np.bincount(gram, np.repeat(x, sizes), rules.buckets) for x in d_word]).astype(np.float32)
             step += 1
             rate = rules.rate * (1 - (step - 1) / steps)
             for q, g, a, b in zip(params, (d_E, mean.T @ delta, delta.sum(0)), m, v, strict=True):
                 a += 0.1 * (g - a)
                 b += 0.01 * (g * g - b)
                 q -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
-    return Model(E @ (V[:, 1] - V[:, 0]), float(bias[1] - bias[0]))
+    return Model((V[:, 1] - V[:, 0]) @ E, float(bias[1] - bias[0]))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -131,17 +132,24 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, rules: ToxicRules, id_col: str, text_col: str) -> tuple[list[str], list[int]]:
-    """The training sample: labelled rows outside the held-out fold in hash order, up to the two bounds."""
+    """The training sample: labelled rows outside the held-out fold in hash order, up to the two bounds. A text that is too long
+    for what is left of the second is passed over. Of several texts of one id, the longest counts."""
     picked = labels.where(~held_out(F.col(id_col)) & F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max("toxic").alias("_y"))
     picked = materialize(picked.orderBy(F.xxhash64("_id"), "_id").limit(rules.train_rows), "toxic-sample")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
-    rows = rows.withColumn("_h", F.xxhash64("doc_id")).withColumn("_n", F.length(F.coalesce("text", F.lit(""))))
-    # Repeated rows of one id count once; then the running length decides, over at most train_rows rows.
-    rows = rows.groupBy("doc_id", "_h", "_y").agg(F.max_by("text", F.struct("_n", "text")).alias("text"), F.max("_n").alias("_n"))
-    rows = rows.withColumn("_sum", F.sum("_n").over(W.orderBy("_h", "doc_id"))).where(F.col("_sum") <= rules.train_chars)
-    got = rows.select("doc_id", "text", "_y").collect()
-    got.sort(key=lambda r: r.doc_id)
-    return [r.text or "" for r in got], [int(r._y > 0) for r in got]
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    # Lengths first, of at most train_rows ids; texts only of those that the second bound lets in.
+    sizes = texts.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("_n")).join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
+    chosen, left = [], rules.train_chars
+    for r in sorted(sizes.groupBy("doc_id", "_y", F.xxhash64("doc_id").alias("_h")).agg(F.max("_n").alias("_n")).collect(), key=lambda r: (r._h, r.doc_id)):
+        if r._n <= left:
+            chosen.append((r.doc_id, int(r._y > 0), r._n))
+            left -= r._n
+    if not chosen:
+        return [], []
+    wanted = docs.sparkSession.createDataFrame(chosen, "_id long, _y int, _n int")
+    rows = texts.join(F.broadcast(wanted), (F.col("doc_id") == F.col("_id")) & (F.length(F.coalesce("text", F.lit(""))) == F.col("_n")))
+    got = rows.groupBy("doc_id", "_y").agg(F.max(F.coalesce("text", F.lit(""))).alias("text")).toArrow().sort_by("doc_id")
+    return got["text"].to_pylist(), got["_y"].to_pylist()
 
 
 def score(docs: DataFrame, model: Model, rules: ToxicRules, id_col: str, text_col: str) -> DataFrame:
