@@ -59,10 +59,11 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n_words: int = WORDS, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, n_item, n_shared, containment) of every leaked item."""
-    return _leaks(docs, items, threshold, n_words, doc_col, item_col, text_col).groupBy("doc_id", "item_id").agg(
-        *[F.max_by(c, "containment").alias(c) for c in ("n_item", "n_shared")], F.max("containment").alias("containment")
-    )
+    """(doc_id, item_id, n_item, n_shared, containment) of every leaked item. Of several rows of one document id and one item id, the
+    pair of highest containment counts, of equal ones that with the larger item."""
+    best = F.max(F.struct("containment", "n_item", "n_shared")).alias("b")
+    found = _leaks(docs, items, threshold, n_words, doc_col, item_col, text_col).groupBy("doc_id", "item_id").agg(best)
+    return found.select("doc_id", "item_id", "b.n_item", "b.n_shared", "b.containment")
 
 
 def _text_key(doc_id: Column, text: Column) -> Column:
@@ -118,15 +119,17 @@ def drop_leaked(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", **ru
     return docs.join(leaked, docs[doc_col].eqNullSafe(leaked["_leaked"]) & text_key.eqNullSafe(leaked["_leaked_text"]), "left_anti")
 
 
+#: Rows of documents and items are judged each by itself, as above.
 ORACLE = r"""
-WITH i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
-ik AS (SELECT item_id, w, least(len(w), 5) AS k FROM i WHERE len(w) > 0),
-ish AS (SELECT DISTINCT item_id, array_to_string(w[p : p + k - 1], ' ') AS s FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM ik)),
-n AS (SELECT item_id, count(*) AS n_item FROM ish GROUP BY item_id),
-d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+WITH i AS (SELECT row_number() OVER () AS r, item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+ik AS (SELECT r, item_id, w, least(len(w), 5) AS k FROM i WHERE len(w) > 0),
+ish AS (SELECT DISTINCT r, item_id, array_to_string(w[p : p + k - 1], ' ') AS s FROM (SELECT r, item_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM ik)),
+n AS (SELECT r, count(*) AS n_item FROM ish GROUP BY r),
+d AS (SELECT row_number() OVER () AS q, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
 k AS (SELECT DISTINCT k FROM ik),
-dsh AS (SELECT DISTINCT doc_id, array_to_string(w[p : p + k - 1], ' ') AS s FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, k WHERE len(w) >= k))
-SELECT doc_id, item_id, n_item, count(*) AS n_shared, count(*) / n_item::DOUBLE AS containment
-FROM dsh JOIN ish USING (s) JOIN n USING (item_id)
-GROUP BY doc_id, item_id, n_item HAVING count(*) >= 0.8 * n_item - 1e-9
+dsh AS (SELECT DISTINCT q, doc_id, array_to_string(w[p : p + k - 1], ' ') AS s FROM (SELECT q, doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, k WHERE len(w) >= k)),
+found AS (SELECT q, r, doc_id, item_id, n_item, count(*) AS n_shared, count(*) / n_item::DOUBLE AS containment
+  FROM dsh JOIN ish USING (s) JOIN n USING (r) GROUP BY q, r, doc_id, item_id, n_item HAVING count(*) >= 0.8 * n_item - 1e-9)
+SELECT doc_id, item_id, n_item, n_shared, containment FROM found
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY containment DESC, n_item DESC) = 1
 """
