@@ -1,12 +1,13 @@
 """Sequence packing by cutting-stock column generation (operator 2).
 
 Each document's token ids and a closing id are cut at multiples of the sequence length. Whole pieces fill a sequence by
-themselves. The rest pieces are counted by length class (a histogram of fixed size), and a linear program over packing
+themselves. The rest pieces are counted by length (a histogram of fixed size), and a linear program over packing
 patterns is solved by column generation: the dual prices go to an unbounded knapsack dynamic program that proposes the
-pattern worth most. The solution is rounded down, what is left over is packed first-fit-decreasing, and the patterns
-are assigned to pieces by their rank within the class. What a class's rounding leaves free in a sequence is filled
-exactly by slices of a few whole pieces ("fill pieces"); what the last of them has over makes sequences of power-of-two
-lengths. So no sequence has padding, unless the input has too few long documents to fill all room.
+patterns worth most, until the total is at the bound that the tokens or the prices prove. The solution is rounded down, what
+is left over is packed first-fit-decreasing, and the patterns are assigned to pieces by their rank within the length. The
+little that then is free in some sequences is filled exactly by slices of a few whole pieces ("fill pieces"); what the last
+of them has over makes sequences of power-of-two lengths. So no sequence has padding, unless the input has too few long
+documents to fill all room.
 
 Only the histogram and the patterns reach the driver; both have a size that the parameters fix. Ranks and running sums
 are taken in two steps (salted groups, then a small table of group totals), so one frequent length does not meet in one
@@ -19,6 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,7 +36,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 @dataclass(frozen=True)
 class PackRules:
     length: int = 2048
-    unit: int = 2  #: width of a length class in tokens; must divide ``length``
+    unit: int = 1  #: width of a length class in tokens; must divide ``length``
     end_id: int = 1
     vocabulary: str = "word_bpe_49k.json"
     folder: str | None = None
@@ -144,27 +146,59 @@ def pattern(pick: np.ndarray, size: int, first: int) -> np.ndarray:
     return taken
 
 
+def greedy_basis(demand: np.ndarray) -> tuple[list[np.ndarray], list[float]]:
+    """Patterns by first fit decreasing, each used until the first of its classes is used up, in fractions: as many patterns as
+    classes, and, as a class that is used up is in no later pattern, a feasible basis of the linear program."""
+    size = len(demand)
+    sizes = (np.flatnonzero(demand) + 1).tolist()
+    left = {w: float(demand[w - 1]) for w in sizes}
+    patterns, times = [], []
+    while sizes:
+        room, p, k = size, {}, len(sizes) - 1
+        while k >= 0:
+            w = sizes[k]
+            p[w] = min(room // w, max(1, int(left[w])))
+            room -= p[w] * w
+            k = min(k - 1, bisect_right(sizes, room) - 1)
+        out = min(p, key=lambda w: left[w] / p[w])
+        n = left[out] / p[out]
+        for w, c in p.items():
+            left[w] = max(left[w] - n * c, 0.0)
+        sizes.remove(out)
+        column = np.zeros(size, dtype=np.int64)
+        column[np.array(list(p)) - 1] = list(p.values())
+        patterns.append(column)
+        times.append(n)
+    return patterns, times
+
+
 def fractional(demand: np.ndarray, gap: float, per_round: int, stall: int) -> list[tuple[np.ndarray, float]]:
-    """Patterns and how often each is used, in fractions, by column generation with an explicit basis inverse from one
-    single-size pattern a class on. Every knapsack proposes the best pattern through each of its ``per_round`` best items.
+    """Patterns and how often each is used, in fractions, by column generation with an explicit basis inverse, from
+    ``greedy_basis`` on. Every knapsack proposes the best pattern through each of its ``per_round`` best items.
 
-    Ends when no pattern is worth more than one, when the total is within ``gap`` of it (or half a sequence) of the bound that the
-    prices prove, or when ``stall`` knapsacks in a row have not lowered it, as happens at ties: all of them usable solutions.
+    Ends when no pattern is worth more than one, when the total is within ``gap`` of it (or half a sequence) of what the tokens
+    need or the prices prove, or when ``stall`` knapsacks in a row have not lowered it, as happens at ties. Every end leaves a
+    usable solution.
     """
     size, used = len(demand), np.flatnonzero(demand)
     m, number = len(used), np.full(len(demand), -1)
     number[used] = np.arange(m)
-    basis = [np.where(np.arange(size) == w - 1, size // w, 0) for w in used + 1]
-    inverse = np.diag(1.0 / (size // (used + 1)).astype(float))
     wanted = demand[used].astype(float)
-    x, price = inverse @ wanted, inverse.sum(axis=0)
-    least, still = x.sum(), 0
+    basis, times = greedy_basis(demand)
+    x, least, still = np.array(times), np.inf, 0
+    bound = float(wanted @ (used + 1)) / size
+    near = lambda: x.sum() - bound <= max(0.5, gap * x.sum())
+    if near():
+        return list(zip(basis, x.tolist(), strict=True))
+    inverse = np.linalg.inv(np.array(basis, dtype=float)[:, used].T)
     while still < stall:
+        price = inverse.sum(axis=0)
         prices = np.zeros(size)
         prices[used] = np.maximum(price, 0)
         best, pick = knapsack(prices, size)
         total = float(x.sum())
-        if best[size] <= 1 + 1e-7 or total - prices[used] @ wanted / best[size] <= max(0.5, gap * total):
+        bound = max(bound, prices[used] @ wanted / best[size])
+        if best[size] <= 1 + 1e-7 or near():
             break
         still = 0 if total < least - 1e-6 * total else still + 1
         least = min(least, total)
@@ -183,18 +217,18 @@ def fractional(demand: np.ndarray, gap: float, per_round: int, stall: int) -> li
             out = int(ratio.argmin())
             if not np.isfinite(ratio[out]):
                 continue
-            x = np.maximum(x - ratio[out] * d, 0)
-            x[out] = ratio[out]
-            row = inverse[out] / d[out]
-            inverse -= np.outer(d, row)
+            step, row = ratio[out], inverse[out] / d[out]
+            x = np.maximum(x - step * d, 0)
+            x[out] = step
+            some = np.flatnonzero(np.abs(d) > 1e-12)
+            inverse[some] -= np.outer(d[some], row)
             inverse[out] = row
             price = price - d.sum() * row + row
             basis[out] = column
-        price = inverse.sum(axis=0)
     return list(zip(basis, x.tolist(), strict=True))
 
 
-def cutting_stock(demand: np.ndarray, gap: float = 1e-4, per_round: int = 24, stall: int = 60) -> list[tuple[np.ndarray, int]]:
+def cutting_stock(demand: np.ndarray, gap: float = 1e-4, per_round: int = 8, stall: int = 60) -> list[tuple[np.ndarray, int]]:
     """Patterns and how often each is used. ``demand[i]``: pieces of size i + 1; a pattern's sizes sum to at most len(demand).
 
     The linear program's solution is rounded down; what is left of the demand is packed first-fit-decreasing. Uses exactly
