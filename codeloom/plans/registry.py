@@ -59,6 +59,11 @@ def _stored(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(written(g.nodes, "nodes"), written(g.edges, "edges"))
 
 
+def _walked(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph for a walk, to which equal edges do not matter: each level filters the edges as they are read."""
+    return Graph(adapter.nodes(spark, sf_dir), adapter.raw_edges(spark, sf_dir))
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -313,27 +318,27 @@ _NO_CAP = 1 << 62
 
 @query(_IMPACT + " SELECT n.qualified_name, n.kind, lv.dist FROM lv JOIN nodes n ON n.qualified_name = lv.name WHERE dist > 0")
 def impact_nodes(spark, sf_dir):
-    g = _stored(spark, sf_dir)
+    g = _walked(spark, sf_dir)
     return traverse.impacted_nodes(g, traverse.impact_radius(g, _brand_files(g), 2, _NO_CAP)).select("qualified_name", "kind", "dist")
 
 
 @query(_IMPACT + " SELECT DISTINCT n.file_path FROM lv JOIN nodes n ON n.qualified_name = lv.name WHERE dist > 0")
 def impact_files(spark, sf_dir):
-    g = _stored(spark, sf_dir)
+    g = _walked(spark, sf_dir)
     return traverse.impacted_files(g, traverse.impact_radius(g, _brand_files(g), 2, _NO_CAP))
 
 
 @query(_IMPACT + " SELECT e.* FROM edges e WHERE source_qualified IN (SELECT name FROM lv) AND target_qualified IN (SELECT name FROM lv)")
 def impact_edges(spark, sf_dir):
-    g = _stored(spark, sf_dir)
-    return traverse.impact_edges(g, traverse.impact_radius(g, _brand_files(g), 2, _NO_CAP)).select(*EDGE_KEY)
+    g = _walked(spark, sf_dir)
+    return traverse.impact_edges(g, traverse.impact_radius(g, _brand_files(g), 2, _NO_CAP)).select(*EDGE_KEY).distinct()
 
 
 @query(_IMPACT + """, c AS (SELECT (SELECT count(*) FROM l0) AS n0, (SELECT count(*) FROM l1) AS n1, (SELECT count(*) FROM l2) AS n2)
 SELECT n0 + n1 > 500 OR n0 + n1 + n2 > 500 AS truncated, CASE WHEN n0 + n1 > 500 THEN n1 ELSE n1 + n2 END::BIGINT AS total_impacted FROM c""")
 def impact_truncated(spark, sf_dir):
     """The default node cap: the level that passes it is kept whole, and the traversal stops there."""
-    g = _stored(spark, sf_dir)
+    g = _walked(spark, sf_dir)
     i = traverse.impact_radius(g, _brand_files(g), 2, 500)
     return spark.createDataFrame([(i.truncated, i.total_impacted)], "truncated boolean, total_impacted long")
 

@@ -312,3 +312,14 @@ def test_old_versions_go(spark, stored, tmp_path):
     before = folders()
     assert stored.vacuum() == before - folders() > 0
     assert stored._numbers() == [5, 4, 3] and stored.table("nodes").count() == 60
+
+
+def test_the_environment_chooses_the_backend(spark, tmp_path, monkeypatch):
+    for name in ("EMBEDDING_BACKEND", "LITELLM_PROXY_URL", "API_KEYS"):
+        monkeypatch.delenv(name, raising=False)
+    call = lambda texts: [[1.0]] * len(texts)
+    assert GraphSession(spark, str(tmp_path), remote=call).backend.name == "hashing"
+    monkeypatch.setenv("API_KEYS", "service:key")
+    assert GraphSession(spark, str(tmp_path), remote=call).backend.name == "remote" and GraphSession(spark, str(tmp_path)).backend.name == "hashing"
+    monkeypatch.setenv("EMBEDDING_BACKEND", "local")
+    assert GraphSession(spark, str(tmp_path), remote=call).backend.name == "hashing"
