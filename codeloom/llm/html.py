@@ -44,6 +44,7 @@ class TemplateRules:
     few_pages: int = 16  #: of a host before a slot that reads one of few texts counts as template text:
     few: int = 4  #: on average, each of them is on so many pages
     region_share: float = 0.6  #: of a region's text that makes a child the better region
+    broadcast_hosts: int = 100_000  #: page counts of so many counted hosts, at most, are broadcast
     broadcast_bytes: int = 8 << 20  #: templates are broadcast when they have been measured and are no larger
 
 
@@ -392,11 +393,15 @@ def templates(pages: DataFrame, rules: TemplateRules | None = None) -> DataFrame
     """One row per host: its pages, main region, constant slots and valid classes."""
     rules = rules or TemplateRules()
     vectors = materialize(occurrence_vectors(pages), "html-vectors")
-    counts = vectors.where(F.col("token") == "").select(F.col("host").alias("_h"), F.col("pages").alias("n_pages"))
-    # Tokens on few of a host's pages belong to no template; the rest are at most 1 / min_share times a page's tokens.
+    counts = materialize(vectors.where(F.col("token") == "").select(F.col("host").alias("_h"), F.col("pages").alias("n_pages")), "html-hosts")
+    few = counts.count() <= rules.broadcast_hosts
+    # Tokens on few of a host's pages belong to no template; the rest are at most 1 / min_share times a page's tokens. They are told
+    # before they meet by host: a host has as many different texts as it likes.
     is_text = F.contains("token", F.lit("#="))
+    possible = vectors.where(~is_text | (F.col("pages") >= rules.template_share * rules.min_pages))
     enough = F.when(is_text, (F.col("n_pages") >= rules.min_pages) & (F.col("pages") >= rules.template_share * F.col("n_pages"))).otherwise(F.col("pages") >= rules.min_share * F.col("n_pages"))
-    frequent = vectors.join(counts, F.col("host") == F.col("_h")).where(enough)
+    frequent = possible.join(F.broadcast(counts) if few else counts, F.col("host") == F.col("_h")).where(enough)
+    frequent = frequent if few else materialize(frequent, "html-frequent")  # an exchange of its own, so that a skewed join can split hosts
     fields = ["token", "pages", "sum", "vector", "chars", "furniture", "least", "most", "bits"]
     grouped = frequent.groupBy("host", "n_pages").agg(F.collect_list(F.struct(*fields)).alias("rows"))
 

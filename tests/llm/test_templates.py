@@ -23,9 +23,11 @@ def host(n: int, name: str = "h.org"):
     return out
 
 
-def test_template_decides(spark):
+@pytest.mark.parametrize("hosts", [100_000, 0])
+def test_template_decides(spark, hosts):
     made = host(40)
-    got = {r.page_id: r.text for r in html.extract_main_text(spark.createDataFrame([m[0] for m in made], S).repartition(5)).collect()}
+    pages = spark.createDataFrame([m[0] for m in made], S).repartition(5)
+    got = {r.page_id: r.text for r in html.extract_main_text(pages, html.TemplateRules(broadcast_hosts=hosts)).collect()}
     assert got == {m[0][0]: m[1] for m in made}
     # A page by itself has no template: everything that no name gives away stays.
     alone = html.main_text(made[0][0][2], "", frozenset())
