@@ -134,11 +134,11 @@ class GraphStore:
         return {str(r["b"]) for r in keys.select(self._bucket(name, n).alias("b")).distinct().collect()}
 
     def replace_files(self, new: Graph, paths: DataFrame, metadata: dict[str, str] | None = None) -> int:
-        """Everything of the given files goes; the new graph's rows come. Other files' buckets are neither read nor written."""
+        """Everything of the given files goes; the new graph's rows, which are of these files, come. Other files' buckets are neither
+        read nor written."""
         since = self._latest()
         n = int(since[1].get("nodes", {}).get("n", self.buckets))
-        keys = paths.select("file_path").unionByName(new.nodes.select("file_path")).unionByName(new.edges.select("file_path"))
-        touched = self._touched("nodes", keys, n)
+        touched = self._touched("nodes", paths, n)
         old = {name: self._read(name, since[1], touched) for name in ("nodes", "edges")}
         changed = {
             "nodes": dml.replace_files(old["nodes"], _fit(new.nodes, NODES), paths, NODE_KEY),
