@@ -42,17 +42,21 @@ def edges_to(g: Graph, qualified: str) -> DataFrame:
     return g.edges.where(F.col("target_qualified") == qualified.rsplit("::", 1)[1])
 
 
-def edges_to_all(g: Graph, targets: DataFrame, kinds: list[str] | None = None, kind_first: bool = False) -> DataFrame:
+def edges_to_all(g: Graph, targets: DataFrame, kinds: list[str] | None = None, kind_first: bool = False, few: bool = False) -> DataFrame:
     """``edges_to`` for a whole column ``target`` at once: (target, *edge columns).
 
     ``kinds`` filters the result. By default the bare name is tried only for targets that no edge of any kind has; with
-    ``kind_first`` kinds are filtered before that test.
+    ``kind_first`` kinds are filtered before that test. ``few``: there are few targets, so that test looks at the edges that end at
+    one of them, not at the ends of all edges.
     """
     edges = g.edges
     wanted = edges if kinds is None else edges.where(F.col("kind").isin(*kinds))
     tested = wanted if kind_first else edges
     exact = targets.join(wanted, F.col("target") == F.col("target_qualified"))
-    missed = targets.join(tested.select("target_qualified").distinct(), F.col("target") == F.col("target_qualified"), "left_anti")
+    ends = tested.select("target_qualified")
+    if few:
+        ends = ends.join(targets.select(F.col("target").alias("_t")), F.col("target_qualified") == F.col("_t"), "left_semi")
+    missed = targets.join(ends.distinct(), F.col("target") == F.col("target_qualified"), "left_anti")
     bare = missed.withColumn("_bare", bare_name(F.col("target"))).where(F.col("_bare").isNotNull())
     bare = bare.join(wanted, F.col("_bare") == F.col("target_qualified")).drop("_bare")
     return exact.unionByName(bare)

@@ -9,10 +9,14 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Threads for jobs that share the cluster. They stay, since each has its own connection to the driver's JVM.
+SIDE_BY_SIDE = ThreadPoolExecutor(4, thread_name_prefix="codeloom")
+
 _own: str | None = None
 _written: list[list[str]] = [[]]
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .graph import Graph
 from .operators import dml, embed
 from .schemas import EDGE_KEY, EDGES, EMBEDDINGS, METADATA, NODE_KEY, NODES
+from .shared import SIDE_BY_SIDE, written
 
 _TABLES = {"nodes": NODES, "edges": EDGES, "embeddings": EMBEDDINGS, "metadata": METADATA}
 _DEALT_BY = {"nodes": "file_path", "edges": "file_path", "embeddings": "qualified_name", "metadata": None}
@@ -122,10 +123,10 @@ class GraphStore:
         number, old = since or self._latest()
         n = int(old.get("nodes", {}).get("n", self.buckets))
         new = {name: dict(old.get(name, {})) for name in _TABLES}
-        for name, df in tables.items():
+        made_of = dict(zip(tables, SIDE_BY_SIDE.map(lambda t: self._write(*t, n), tables.items()), strict=True))
+        for name, made in made_of.items():
             gone = (touched or {}).get(name)
-            stays = {b: d for b, d in new[name].items() if b != "n" and gone is not None and b not in gone}
-            new[name] = stays | self._write(name, df, n)
+            new[name] = {b: d for b, d in new[name].items() if b != "n" and gone is not None and b not in gone} | made
         new["nodes"]["n"] = str(n)
         return self._publish(number + 1, new)
 
@@ -167,8 +168,6 @@ class GraphStore:
 
     def embed_all(self, backend: embed.Backend) -> int:
         """Embeds what is pending among nodes of files with a File node; returns how many were. Only their buckets are written."""
-        from .shared import written
-
         since = self._latest()
         m, n = since[1], int(since[1].get("nodes", {}).get("n", self.buckets))
         nodes = embed.embeddable(Graph(self._read("nodes", m), self._read("edges", m)))
