@@ -17,17 +17,16 @@ def test_items_of_one_id_and_without_an_id(spark):
 
 def test_sql_judges_rows_by_themselves_too(spark):
     import duckdb
-    import pandas as pd
 
     a, b, c = prose(1, 30), prose(2, 18), prose(3, 25)
     half = " ".join(a.split()[:15])
-    items = pd.DataFrame([(1, a), (1, b), (1, half), (2, c), (2, c), (3, "one two"), (None, b), (4, None), (5, "")], columns=["item_id", "text"]).astype({"item_id": "Int64"})
+    items = [(1, a), (1, b), (1, half), (2, c), (2, c), (3, "one two"), (None, b), (4, None), (5, "")]
     texts = [(1, f"x {a} y"), (1, f"{prose(9, 40)} {b}"), (2, f"{half} {prose(8, 30)} {' '.join(a.split()[15:])}"), (3, f"{c} {b}"), (3, None), (None, b), (None, f"z {c}"), (4, "ONE two"), (5, ""), (6, f"{b} {' '.join(b.split()[::-1])}")]
-    docs = pd.DataFrame(texts, columns=["doc_id", "text"]).astype({"doc_id": "Int64"})
-    c = duckdb.connect()
-    c.register("documents", docs)
-    c.register("benchmark", items)
-    rows = lambda f: spark.createDataFrame([tuple(None if x is pd.NA else x for x in r) for r in f.itertuples(index=False)], f"{f.columns[0]} long, text string")
-    want = sorted(map(repr, ([x for x in r] for r in c.sql(f"SELECT doc_id, item_id, n_item, n_shared, containment FROM ({decontam.ORACLE})").fetchall())))
-    got = sorted(map(repr, ([*r] for r in decontam.find_leaks(rows(docs), rows(items)).collect())))
+    duck = duckdb.connect()
+    for name, key, rows in (("documents", "doc_id", texts), ("benchmark", "item_id", items)):
+        duck.execute(f"CREATE TABLE {name} ({key} BIGINT, text VARCHAR)")
+        duck.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+    want = sorted(map(repr, map(list, duck.sql(f"SELECT doc_id, item_id, n_item, n_shared, containment FROM ({decontam.ORACLE})").fetchall())))
+    found = decontam.find_leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = sorted(map(repr, map(list, found.collect())))
     assert got == want and len(got) >= 8
