@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..graph import Graph
+from ..shared import written
 
 
 def _pattern(word: str, escape: bool) -> str:
@@ -32,43 +35,162 @@ def search_nodes(g: Graph, query: str, kind: str | None = None, limit: int | Non
     return found if limit is None else found.orderBy("name", "qualified_name").limit(limit)
 
 
-#: Lengths of the literal runs by which terms and names meet.
-GRAMS = (1, 2, 3, 4, 6, 8, 12)
+#: How much of a term may name the places where it can begin (``head``) and be looked up there (``key``): the first choice is taken that gives few
+#: kinds of heads and keys, since every task of the nodes holds them.
+CUTS = ((12, 1 << 30), (8, 1 << 30), (4, 1 << 30), (8, 16), (4, 12), (4, 8), (3, 6), (2, 4), (1, 2))
+FEW_HEADS, FEW_KEYS = 64, 4096
 
 
-def _grams(s: Column, lengths: tuple[int, ...]) -> Column:
-    """Distinct substrings of ``s`` of each of ``lengths``."""
-    of = lambda n: F.when(F.length(s) >= n, F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: F.substring(s, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(*[of(n) for n in lengths]))
+def _cut(part: Column, length: int) -> Column:
+    """The first characters of ``part``, without wildcards at the end."""
+    return part if length >= 1 << 30 else F.regexp_replace(F.substring(part, 1, length), "_+$", "")
 
 
-def search_all(g: Graph, terms: DataFrame) -> DataFrame:
-    """``search_nodes`` without a limit for a whole column ``term`` at once: (term, *node columns), each term once.
+def _shape(s: Column) -> Column:
+    """Where ``s`` has wildcards, and its length."""
+    return F.regexp_replace(s, "(?s)[^_]", "x")
 
-    A term meets the nodes that hold one literal run of it, the one that the fewest nodes hold, and is then compared word by
-    word as ``matches`` does. Terms of wildcards alone have no such run and are compared with every node.
+
+def _begins(parts: DataFrame) -> tuple[int, list[tuple[str, str]]]:
+    """The length of keys for column ``part``, and the distinct pairs of a key's head and its shape."""
+    choice = lambda head, key: (F.substring(_cut(F.col("part"), key), 1, head), _shape(_cut(F.col("part"), key)))
+    counts = [f for cut in CUTS for h, k in [choice(*cut)] for f in (F.approx_count_distinct(_shape(h)), F.approx_count_distinct(F.struct(h, k)))]
+    n = parts.agg(*[c.alias(f"c{i}") for i, c in enumerate(counts)]).first()
+    cut = next((c for i, c in enumerate(CUTS) if n[2 * i] <= FEW_HEADS and n[2 * i + 1] <= FEW_KEYS), CUTS[-1])
+    h, k = choice(*cut)
+    return cut[1], [tuple(r) for r in parts.select(h.alias("h"), k.alias("k")).distinct().collect()]
+
+
+def _runs(shape: str) -> list[tuple[int, int]]:
+    """From and to of each run between wildcards, empty ones too."""
+    found, at = [], 0
+    for run in shape.split("_"):
+        found.append((at, at + len(run)))
+        at += len(run) + 1
+    return found
+
+
+def _key_reader(begins: list[tuple[str, str]], columns: list[str]):
+    """For ``mapInArrow``: (key, *columns) for each row and each distinct key in its texts ``_low`` and ``_full``.
+
+    A key is a stretch of text with its wildcards' places written ``_``. Places where none of the heads begins are passed over by a table
+    of two characters and a hash; what is left is compared as text.
+    """
+    import numpy as np
+
+    heads: dict[str, dict[str, list]] = {}
+    for head, shape in begins:
+        heads.setdefault("".join("_" if c == "_" else "x" for c in head), {}).setdefault(head, []).append((len(shape), _runs(shape)))
+    odd = np.random.default_rng(1).integers(0, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
+    points = lambda s: np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+    plans = []
+    for shape, of in heads.items():
+        literal = [i for i, c in enumerate(shape) if c != "_"]
+        wide = 1 in literal  # two characters are known
+        codes = np.stack([points(h) for h in of])
+        table = np.zeros(1 << 16, bool)
+        table[((codes[:, 0] * 31 + codes[:, 1]) if wide else codes[:, 0]) & 0xFFFF] = True
+        hashes = np.unique(sum(codes[:, i].astype(np.uint64) * odd[i % 64] for i in literal))
+        for group in of.values():
+            group.sort()
+        plans.append((len(shape), _runs(shape), literal, wide, table, hashes, of))
+
+    def read(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts, row = [], []
+            for i, (low, full) in enumerate(zip(batch["_low"].to_pylist(), batch["_full"].to_pylist(), strict=True)):
+                if full is not None:
+                    texts.append(full)
+                    row.append(i)
+                if low is not None and (full is None or low not in full):
+                    texts.append(low)
+                    row.append(i)
+            code = points("".join(texts))
+            if not len(code):
+                continue
+            start = np.cumsum([0, *map(len, texts)])
+            one = code & 0xFFFF
+            two = (code * 31 + np.append(code[1:], np.uint32(0))) & 0xFFFF
+            found = {}
+            for length, runs, literal, wide, table, hashes, of in plans:
+                at = np.flatnonzero(table[two if wide else one])
+                at = at[at + length <= len(code)]
+                h = np.zeros(len(at), np.uint64)
+                for i in literal:
+                    h += code[at + i].astype(np.uint64) * odd[i % 64]
+                at = at[hashes[np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)] == h]
+                which = np.searchsorted(start, at, "right") - 1
+                for t, a in zip(which.tolist(), (at - start[which]).tolist(), strict=True):
+                    text, r = texts[t], row[t]
+                    for size, parts in of.get("_".join([text[a + x : a + y] for x, y in runs]), ()):
+                        if a + size > len(text):
+                            break
+                        found["_".join([text[a + x : a + y] for x, y in parts]), r] = None
+            if found:
+                keys, rows = zip(*found, strict=True)
+                taken = batch.select(columns).take(pa.array(rows, pa.int32())).columns if columns else []
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *taken], names=["_key", *columns])
+
+    return read
+
+
+def _holding(nodes: DataFrame, begins: list[tuple[str, str]], columns: list[str]) -> DataFrame:
+    """(_key, *columns) for each node and each key that its name or qualified name may hold."""
+    schema = T.StructType([T.StructField("_key", T.StringType()), *[nodes.schema[c] for c in columns]])
+    texts = nodes.select(*columns, F.lower("name").alias("_low"), F.lower("qualified_name").alias("_full"))
+    return texts.mapInArrow(_key_reader(begins, columns), schema) if begins else nodes.sparkSession.createDataFrame([], schema)
+
+
+def search_all(g: Graph, terms: DataFrame, columns: list[str] | None = None, first: int | None = None) -> DataFrame:
+    """``search_nodes`` without a limit for a whole column ``term`` at once: (term, *columns of the nodes), each term once.
+
+    Nodes are read for the places where a term can begin and give the stretches of text that can be a term; these meet the terms by
+    equality, so a node moves once for each of its hits. A term of several words or of parts between ``%`` meets nodes by the part
+    that the fewest hold and is then compared word by word as ``matches`` does. Terms of wildcards alone are compared with every
+    node. ``first``: only so many hits of each term, by name and qualified name.
     """
+    columns = g.nodes.columns if columns is None else columns
+    ordered = list(dict.fromkeys([*columns, "name", "qualified_name"])) if first else columns
+    checked = list(dict.fromkeys([*ordered, "name", "qualified_name"]))
+
+    def cut(df: DataFrame, by: str) -> DataFrame:
+        if not first:
+            return df
+        rank = F.row_number().over(W.partitionBy(by).orderBy("name", "qualified_name"))
+        return df.withColumn("_r", rank).where(F.col("_r") <= first).drop("_r")
+
     words = F.filter(F.split(F.lower("term"), r"(?U)\s+"), lambda w: w != "")
-    terms = terms.select("term").distinct().withColumn("_words", words).where(F.size("_words") > 0)
-    runs = F.filter(F.flatten(F.transform("_words", lambda w: F.split(w, "[%_]"))), lambda r: r != "")
-    largest = lambda r: F.coalesce(*[F.when(F.length(r) >= n, F.lit(n)) for n in reversed(GRAMS)])
-    of_run = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - largest(r) + 1), lambda i: F.substring(r, i, largest(r)))
-    keyed = terms.withColumn("_grams", F.array_distinct(F.flatten(F.transform(runs, of_run))))
-    term_grams = keyed.select("term", "_words", F.explode("_grams").alias("_gram"))
+    parts = F.filter(F.transform(F.flatten(F.transform("_words", lambda w: F.split(w, "%"))), lambda p: F.trim(p, F.lit("_"))), lambda p: p != "")
+    told = written(terms.select("term").distinct().withColumn("_words", words).where(F.size("_words") > 0).withColumn("_parts", F.array_distinct(parts)), "terms")
+    one = (F.size("_words") == 1) & (F.size("_parts") == 1) & (F.element_at("_words", 1) == F.element_at("_parts", 1))
+    plain = told.where(one).select("term", "_words", F.element_at("_parts", 1).alias("part"))
+    several = told.where(~one & (F.size("_parts") > 0))
+    split = several.select("term", "_words", F.explode("_parts").alias("part"))
 
     low, full = F.lower("name"), F.lower("qualified_name")
-    text = F.when(full.contains(low), full).otherwise(F.concat_ws("\n", low, full))
-    held = g.nodes.withColumn("_gram", F.explode(_grams(text, GRAMS))).join(term_grams.select("_gram").distinct(), "_gram", "left_semi")
-    count = held.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
-    least = term_grams.join(count, "_gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)), "_gram", "_words")).alias("_k"))
-    least = least.select("term", "_k._gram", "_k._words")
-
     pattern = lambda w: F.concat(F.lit("%"), F.replace(w, F.lit("\\"), F.lit("\\\\")), F.lit("%"))
     inside = lambda s, w: F.when(w.rlike("[%_]"), F.like(s, pattern(w))).otherwise(F.contains(s, w))
     exact = F.forall("_words", lambda w: F.coalesce(inside(low, w), F.lit(False)) | F.coalesce(inside(full, w), F.lit(False)))
-    near = least.join(held, "_gram").where(exact)
-    rest = keyed.where(F.size("_grams") == 0).crossJoin(g.nodes).where(exact)
-    return near.select("term", *g.nodes.columns).unionByName(rest.select("term", *g.nodes.columns))
+
+    length, begins = _begins(plain)
+    if whole := length >= 1 << 30:
+        near = cut(_holding(g.nodes, begins, ordered), "_key").join(plain.select("term", "part"), F.col("_key") == F.col("part"))
+    else:
+        near = _holding(g.nodes, begins, checked).join(plain.withColumn("part", _cut(F.col("part"), length)), F.col("_key") == F.col("part")).where(exact)
+    found = near.select("term", *columns) if whole or not first else cut(near, "term").select("term", *columns)
+
+    length, begins = _begins(split)
+    if begins:
+        keyed = split.withColumn("part", _cut(F.col("part"), length)).distinct()
+        count = _holding(g.nodes, begins, []).groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+        least = keyed.join(count, F.col("part") == F.col("_key"), "left").groupBy("term").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "part", "_words")).alias("_k"))
+        least = least.where("_k.n > 0").select("term", "_k.part", "_k._words")
+        more = _holding(g.nodes, begins, checked).join(least, F.col("_key") == F.col("part")).where(exact)
+        found = found.unionByName(cut(more, "term").select("term", *columns))
+    rest = told.where(F.size("_parts") == 0).select("term", "_words").crossJoin(g.nodes.select(*checked)).where(exact)
+    return found.unionByName(cut(rest, "term").select("term", *columns))
 
 
 def rank_score(query: str) -> Column:

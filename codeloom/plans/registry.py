@@ -291,7 +291,8 @@ m AS (SELECT h.target, CASE WHEN exact = 1 THEN 1 ELSE coalesce(found, 0) END::B
 SELECT target, hits, CASE WHEN hits = 1 THEN 'ok' WHEN hits > 1 THEN 'ambiguous' ELSE 'not_found' END AS status FROM m""")
 def resolve_target_status(spark, sf_dir):
     """By keyword search as a single target is resolved: every word in the name or the qualified name."""
-    return patterns.resolution_status(_stored(spark, sf_dir), _mixed_targets(spark, sf_dir))
+    nodes = written(adapter.nodes(spark, sf_dir), "nodes")
+    return patterns.resolution_status(Graph(nodes, adapter.edges(spark, sf_dir)), _mixed_targets(spark, sf_dir))
 
 
 def _mixed_targets(spark, sf_dir) -> DataFrame:
