@@ -53,12 +53,12 @@ def _shape(s: Column) -> Column:
 
 def _begins(parts: DataFrame) -> tuple[int, list[tuple[str, str]]]:
     """The length of keys for column ``part``, and the distinct pairs of a key's head and its shape."""
-    choice = lambda head, key: (F.substring(_cut(F.col("part"), key), 1, head), _shape(_cut(F.col("part"), key)))
-    counts = [f for cut in CUTS for h, k in [choice(*cut)] for f in (F.approx_count_distinct(_shape(h)), F.approx_count_distinct(F.struct(h, k)))]
-    n = parts.agg(*[c.alias(f"c{i}") for i, c in enumerate(counts)]).first()
-    cut = next((c for i, c in enumerate(CUTS) if n[2 * i] <= FEW_HEADS and n[2 * i + 1] <= FEW_KEYS), CUTS[-1])
-    h, k = choice(*cut)
-    return cut[1], [tuple(r) for r in parts.select(h.alias("h"), k.alias("k")).distinct().collect()]
+    for head, key in CUTS:
+        pairs = parts.select(F.substring(_cut(F.col("part"), key), 1, head).alias("h"), _shape(_cut(F.col("part"), key)).alias("k")).distinct()
+        last = (head, key) == CUTS[-1]
+        found = [tuple(r) for r in (pairs if last else pairs.limit(FEW_KEYS + 1)).collect()]
+        if last or (len(found) <= FEW_KEYS and len({k[: len(h)] for h, k in found}) <= FEW_HEADS):
+            return key, found
 
 
 def _runs(shape: str) -> list[tuple[int, int]]:

@@ -247,8 +247,10 @@ hits AS (SELECT s.term, n.*, row_number() OVER (PARTITION BY s.term ORDER BY n.n
 SELECT * FROM linked UNION ALL SELECT t.target, h.qualified_name, h.kind, h.name FROM terms t JOIN hits h ON h.term = t.term AND h.r <= 10 AND h.is_test
 WHERE NOT EXISTS (SELECT 1 FROM linked l WHERE l.target = t.target AND l.test = h.qualified_name)""")
 def tests_for(spark, sf_dir):
-    """Tests that are linked or named after the node, as for a single target."""
-    g = _stored(spark, sf_dir)
+    """Tests that are linked or named after the node, as for a single target. Of other kinds' edges only the ends are looked at, so
+    these are neither merged nor stored."""
+    linked, other = adapter.edges(spark, sf_dir).where("kind = 'TESTED_BY'"), adapter.raw_edges(spark, sf_dir).where("kind <> 'TESTED_BY'")
+    g = Graph(written(adapter.nodes(spark, sf_dir), "nodes"), written(linked, "edges").unionByName(other))
     return patterns.tests_of(g, _all_names(g))
 
 

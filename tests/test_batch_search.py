@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from codeloom.operators import search
+from codeloom.operators import patterns, search
 
 from .test_graph import make, target
 
@@ -59,3 +59,9 @@ def test_nodes_are_not_exploded(spark):
     found = search.search_all(g, terms)
     assert "Generate" not in plan(found)
     assert sorted(r.qualified_name for r in found.collect()) == sorted([names[3], names[9]])
+
+
+def test_named_tests_of_nodes_that_share_a_name_are_listed_once_a_node(spark):
+    """As in the SQL of ``tests_for``: twice for two nodes, not four times."""
+    g = make(spark, [("Class", "/a.py::Cart", "/a.py", 1, 9, False)] * 2 + [("Test", "/t.py::test_cart", "/t.py", 1, 2, True)], [])
+    assert [tuple(r)[:2] for r in patterns.tests_of(g, g.nodes.selectExpr("qualified_name AS target")).collect()] == [("/a.py::Cart", "/t.py::test_cart")] * 2
